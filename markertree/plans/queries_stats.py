@@ -474,7 +474,7 @@ def neighbour_label_audit(spark, sf):
 # ---------------------------------------------------------------- evaluation
 
 PAIR_SQL = """p AS (SELECT label AS truth, CAST(embedding[1] > 0 AS INTEGER) * 2 + CAST(embedding[2] > 0 AS INTEGER) AS pred FROM embeddings),
-c AS (SELECT truth, pred, count(*) AS n FROM p GROUP BY ALL), a AS (SELECT truth, sum(n) AS a FROM c GROUP BY truth), b AS (SELECT pred, sum(n) AS b FROM c GROUP BY pred), t AS (SELECT sum(n) AS N FROM c)"""
+c AS (SELECT truth, pred, count(*) AS n FROM p GROUP BY ALL), a AS (SELECT truth, sum(n) AS a FROM c GROUP BY truth), b AS (SELECT pred, sum(n) AS b FROM c GROUP BY pred), t AS (SELECT CAST(sum(n) AS DOUBLE) AS tot FROM c)"""
 
 
 def two_labellings(spark, sf):
@@ -489,17 +489,17 @@ def contingency_table(spark, sf):
 
 
 @query("rand_and_adjusted_rand", "EVL-2 EVL-3", f"""
-WITH {PAIR_SQL}, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS x, (SELECT sum(a * (a - 1) / 2) FROM a) AS ta, (SELECT sum(b * (b - 1) / 2) FROM b) AS tb, N * (N - 1) / 2 AS t FROM t)
+WITH {PAIR_SQL}, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS x, (SELECT sum(a * (a - 1) / 2) FROM a) AS ta, (SELECT sum(b * (b - 1) / 2) FROM b) AS tb, tot * (tot - 1) / 2 AS t FROM t)
 SELECT round((t + 2 * x - ta - tb) / t, 6) AS rand, round((x - ta * tb / t) / ((ta + tb) / 2 - ta * tb / t), 6) AS adjusted_rand FROM s""")
 def rand_and_adjusted_rand(spark, sf):
     return rounded(E.rand_indices(two_labellings(spark, sf)), "rand", "adjusted_rand")
 
 
 @query("adjusted_mutual_information", "EVL-4", f"""
-WITH {PAIR_SQL}, mi AS (SELECT sum(n / N * ln(N * n / (a * b))) AS mi FROM c JOIN a USING (truth) JOIN b USING (pred), t),
-ht AS (SELECT -sum(a / N * ln(a / N)) AS h FROM a, t), hp AS (SELECT -sum(b / N * ln(b / N)) AS h FROM b, t),
-x AS (SELECT a, b, N, unnest(range(CAST(greatest(1, a + b - N) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1)) AS x FROM a, b, t),
-e AS (SELECT sum(x / N * ln(N * x / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(N - a + 1) + lgamma(N - b + 1) - lgamma(N + 1) - lgamma(x + 1) - lgamma(a - x + 1) - lgamma(b - x + 1) - lgamma(N - a - b + x + 1))) AS e FROM x)
+WITH {PAIR_SQL}, mi AS (SELECT sum(n / tot * ln(tot * n / (a * b))) AS mi FROM c JOIN a USING (truth) JOIN b USING (pred), t),
+ht AS (SELECT -sum(a / tot * ln(a / tot)) AS h FROM a, t), hp AS (SELECT -sum(b / tot * ln(b / tot)) AS h FROM b, t),
+x AS (SELECT a, b, tot, unnest(range(CAST(greatest(1, a + b - tot) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1)) AS x FROM a, b, t),
+e AS (SELECT sum(x / tot * ln(tot * x / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(tot - a + 1) + lgamma(tot - b + 1) - lgamma(tot + 1) - lgamma(x + 1) - lgamma(a - x + 1) - lgamma(b - x + 1) - lgamma(tot - a - b + x + 1))) AS e FROM x)
 SELECT round(mi, 6) AS mi, round(e, 6) AS emi, round((mi - e) / ((ht.h + hp.h) / 2 - e), 6) AS adjusted_mutual_info FROM mi, ht, hp, e""")
 def adjusted_mutual_information(spark, sf):
     return rounded(E.adjusted_mutual_info(two_labellings(spark, sf)), "mi", "emi", "adjusted_mutual_info")
