@@ -60,10 +60,13 @@ BROADCAST_ROW_LIMIT = 200_000
 
 
 def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> list:
-    """Collect a table that is small by construction, and fail loudly if it is not."""
-    rows = df.limit(limit + 1).collect()
+    """Collect a table that is small by construction, and fail loudly if it is not.
+
+    A plain collect runs all its tasks side by side; ``spark.driver.maxResultSize`` guards the driver.
+    """
+    rows = df.collect()
     if len(rows) > limit:
-        raise ValueError(f"table expected to hold at most {limit} rows is larger")
+        raise ValueError(f"table expected to hold at most {limit} rows has {len(rows)}")
     return rows
 
 
