@@ -57,3 +57,44 @@ def embedding_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("x")
     )
+
+
+LETTERS = ["e", "a", "n", "o"]
+ACCENTS = "éèêàçñáíóúüöäß"
+DOC_MARKERS = [f"share_{c}" for c in LETTERS] + ["share_accent", "log_chars"]
+
+
+def document_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense marker table with real modes: letter shares of whole texts, three batches, language as truth."""
+    docs = table(spark, sf_dir, "documents")
+    low = F.lower("text")
+    n = F.length("text")
+    share = lambda chars: (n - F.length(F.translate(low, chars, ""))) / F.greatest(n, F.lit(1))
+    return docs.select(
+        F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")).alias("batch"),
+        F.col("doc_id").cast("string").alias("cell_id"), "lang",
+        *[share(c).alias(f"share_{c}") for c in LETTERS],
+        share(ACCENTS).alias("share_accent"), F.log1p(n).alias("log_chars"),
+    )
+
+
+def document_expression(spark: SparkSession, sf_dir: str, min_cells: int = 10) -> DataFrame:
+    """Depth-normalised log token counts over tokens seen in at least ``min_cells`` documents, batched like the markers."""
+    from markertree.operators.normalize import depth_normalize, log_transform
+    from markertree.operators.qc import features_in_cells
+
+    tokens = features_in_cells(token_counts(spark, sf_dir), min_cells)
+    logged = log_transform(depth_normalize(tokens))
+    return logged.select(
+        F.concat(F.lit("b"), (F.col("cell_id").cast("bigint") % 3).cast("string")).alias("batch"), "cell_id", "feature", "value")
+
+
+def packed_documents(spark: SparkSession, sf_dir: str, top: int = 300) -> tuple[DataFrame, list[str]]:
+    """Documents as packed rows over their most variable tokens (a top-n feature selection)."""
+    from markertree.operators.features import variable_features
+    from markertree.operators.linear import feature_index, pack_rows
+
+    long = document_expression(spark, sf_dir)
+    cells = document_markers(spark, sf_dir).select("batch", "cell_id", "lang")
+    chosen = feature_index(variable_features(long, cells, top=top, min_disp=None).select("feature"))
+    return pack_rows(long.select("cell_id", "feature", "value"), cells, chosen), chosen
