@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markertree.operators import knots as K
-from markertree.session import bounded_rows
+from markertree.session import bounded_rows, materialize
 
 
 @dataclass
@@ -101,7 +101,7 @@ def fit_models(df: DataFrame, markers: list[str], ks: list[int], diagonal: bool
     """
     points = _start_points(df, markers)
     centre = points.mean(axis=0)
-    shifted = df.select(*[(F.col(m).cast("double") - F.lit(float(c))).alias(m) for m, c in zip(markers, centre)])
+    shifted = materialize(df.select(*[(F.col(m).cast("double") - F.lit(float(c))).alias(m) for m, c in zip(markers, centre)]))
     models = _start_models(points - centre, ks, diagonal)
     live = list(range(len(models)))
     for _ in range(max_iter):

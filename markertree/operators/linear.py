@@ -19,6 +19,7 @@ from markertree.session import bounded_rows
 
 MAX_WIDTH = 4096
 BLOCK = 1024
+BLOCK_NUMBERS = 65_536   # numbers per partial row: a few matrix rows travel together
 
 
 @dataclass
@@ -61,7 +62,7 @@ def gram(df: DataFrame, width: int, by: list[str] = (), array: str | None = "x",
     """Gram of an array column (or of sparse index/value columns) per group.
 
     The number of partial results is bounded by the cluster's size, not by the number of input splits, and
-    partial rows are merged in two steps, so no task receives more than a few thousand rows of ``width`` numbers.
+    partial blocks are merged in two steps on large clusters, so no task receives more than a few thousand blocks.
     """
     if width > MAX_WIDTH:
         raise ValueError(f"select at most {MAX_WIDTH} features first")
@@ -74,8 +75,11 @@ def gram(df: DataFrame, width: int, by: list[str] = (), array: str | None = "x",
         T.StructField("_mean", T.ArrayType(T.DoubleType())), T.StructField("_row", T.ArrayType(T.DoubleType()))])
     names = schema.fieldNames()
 
+    step = max(1, BLOCK_NUMBERS // width)
+    starts = list(range(0, width, step))
+
     def rows_of(key: tuple, slot: int, g: Gram):
-        return [[*key, slot, i, g.n, g.mean, g.scatter[i]] for i in range(width)]
+        return [[*key, slot, i, g.n, g.mean, g.scatter[i:i + step].ravel()] for i in starts]
 
     def partials(batches):
         from pyspark import TaskContext
@@ -90,34 +94,36 @@ def gram(df: DataFrame, width: int, by: list[str] = (), array: str | None = "x",
                 for start in range(0, len(part), BLOCK):
                     g = _block_gram(dense_block(part.iloc[start:start + BLOCK], width, array, idx, val))
                     held[key] = held[key].merge(g) if key in held else g
-        out = [r for key, g in held.items() for r in rows_of(key, slot, g)]
-        for start in range(0, len(out), 256):
-            yield pd.DataFrame(out[start:start + 256], columns=names)
+        for key, g in held.items():
+            yield pd.DataFrame(rows_of(key, slot, g), columns=names)
 
     def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i = int(pdf["_i"].iloc[0])
-        n, mean, row = 0, None, None
+        n, mean, rows = 0, None, None
         for m, mu, r in zip(pdf["_n"], pdf["_mean"], pdf["_row"]):
-            mu, r = np.asarray(mu), np.asarray(r)
+            mu = np.asarray(mu)
+            r = np.asarray(r).reshape(-1, width)
             if mean is None:
-                n, mean, row = int(m), mu, r
+                n, mean, rows = int(m), mu, r
                 continue
             gap = mu - mean
-            row = row + r + gap[i] * gap * (n * m / (n + m))
+            rows = rows + r + np.outer(gap[i:i + len(r)], gap) * (n * m / (n + m))
             mean = mean + gap * (m / (n + m))
             n += int(m)
         first = pdf.iloc[0]
-        return pd.DataFrame([[*[first[c] for c in by], int(first["_slot"]), i, n, mean, row]], columns=names)
+        return pd.DataFrame([[*[first[c] for c in by], int(first["_slot"]), i, n, mean, rows.ravel()]], columns=names)
 
     part = source.mapInPandas(partials, schema)
-    half = part.groupBy(*by, "_slot", "_i").applyInPandas(merged, schema)
-    whole = half.groupBy(*by, "_i").applyInPandas(merged, schema)
+    if slots > 64:
+        part = part.groupBy(*by, "_slot", "_i").applyInPandas(merged, schema)
+    whole = part.groupBy(*by, "_i").applyInPandas(merged, schema)
     out: dict[tuple, Gram] = {}
     for r in bounded_rows(whole):
         key = tuple(r[c] for c in by)
         if key not in out:
             out[key] = Gram(r["_n"], np.asarray(r["_mean"]), np.zeros((width, width)))
-        out[key].scatter[r["_i"]] = r["_row"]
+        rows = np.asarray(r["_row"]).reshape(-1, width)
+        out[key].scatter[r["_i"]:r["_i"] + len(rows)] = rows
     for g in out.values():
         g.scatter = (g.scatter + g.scatter.T) / 2
     return out

@@ -21,7 +21,7 @@ from markertree.operators.profiles import PROFILES, Profile
 from markertree.operators.quantiles import exact_quantiles
 from markertree.operators.scan import group_limits, pair_candidates, scan_markers, scan_pairs
 from markertree.plans.tree import Tree, rule_from_record
-from markertree.session import bounded_rows
+from markertree.session import bounded_rows, materialize
 
 
 @dataclass
@@ -230,6 +230,7 @@ def grow_expression(rows: DataFrame, features: list[str], embed: Embedder | None
     p = PROFILES[profile] if isinstance(profile, str) else profile
     embed = embed or pca_embedder()
     width = len(features)
+    rows = materialize(rows.select("idx", "val"))
     out = ExpressionTree(Tree(), features, {}, {})
     total = None
     while out.tree.open_paths():
@@ -396,6 +397,7 @@ def split_by_metagenes(long_counts: DataFrame, cells: DataFrame, rows: DataFrame
     from markertree.operators.metagenes import count_arrays, dirichlet_labels, fit_dirichlet, metagene_counts, metagenes
     from markertree.operators.scan import component_count_curve
 
+    rows = materialize(rows.select("idx", "val"))
     g = L.gram(rows, len(features), array=None, idx="idx", val="val")[()]
     if g.n < min_cells:
         return None
@@ -408,7 +410,7 @@ def split_by_metagenes(long_counts: DataFrame, cells: DataFrame, rows: DataFrame
     used = names[:min(first + 1, len(names))]
     genes = metagenes(L.loadings_table(rows.sparkSession, model, features), threshold, used)
     labels = sorted(r[0] for r in bounded_rows(genes.select("metagene").distinct()))
-    arrays = count_arrays(metagene_counts(long_counts, genes), labels, cells)
+    arrays = materialize(count_arrays(metagene_counts(long_counts, genes), labels, cells))
     fitted = fit_dirichlet(arrays, len(labels), 2)
     labelled = dirichlet_labels(arrays, fitted)
     sizes = {r["label"]: r["n"] for r in bounded_rows(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")))}
@@ -440,7 +442,7 @@ def expression_veto(long: DataFrame, genes_per_side: int | None = None, large: i
                 continue
             top = genes_per_side or (200 if 500 < n < 5000 else 1000)
             genes = L.feature_index(ranked_features(welch_scores(long, groups), top).select("feature"))
-            rows = L.pack_rows(long, groups, genes)
+            rows = materialize(L.pack_rows(long, groups, genes))
             model = L.discriminant(rows, "group", len(genes), array=None, idx="idx", val="val")
             h = L.apply_map(rows, model.matrix, model.offset, None, "idx", "val").select(
                 F.element_at("scores", 1).alias("h"), F.col("group").alias("side"))

@@ -17,7 +17,7 @@ def run_harness(cells: DataFrame, markers: list[str], name: str, repeats: int =
     rows = []
     for i in range(repeats):
         start = time.time()
-        tree = grow(cells, markers, profile)
+        tree = grow(cells, markers, profile, store=True)
         k = max(len(tree.leaves()), 1)
         rows.append((i, time.time() - start, float(tree.total_ll()), float(k), name, "tree"))
         for method, diagonal in (("mixture", False), ("diagonal", True)):

@@ -23,6 +23,7 @@ from markertree.plans.grow import grow, reopen
 from markertree.plans.queries_tables import NODE_WEIGHTS_SQL, event_weights, scratch
 from markertree.plans.registry import LINE_SQL, TOKENS_SQL, query, r, rounded
 from markertree.plans.tree import Tree
+from markertree.session import materialize
 from markertree.sources import writers as W
 from markertree.sources.schema import NODES
 from markertree.sources.tables import (
@@ -89,7 +90,7 @@ def full_table_mixtures(spark, sf):
 # ---------------------------------------------------------------- single-table trees
 
 def document_tree(spark, sf):
-    return grow(document_markers(spark, sf).select("cell_id", *DOC_MARKERS), DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30))
+    return grow(document_markers(spark, sf).select("cell_id", *DOC_MARKERS), DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30), store=True)
 
 
 @query("marker_tree_nodes", "SPL-5 SPL-6 SPL-8 SPL-9 AGG-5")
@@ -114,7 +115,7 @@ def marker_tree_agreement(spark, sf):
 @query("reassigned_tree_nodes", "SPL-10 MIX-14")
 def reassigned_tree_nodes(spark, sf):
     cells = document_markers(spark, sf).select("cell_id", *DOC_MARKERS)
-    return grow(cells, DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30), reassign=True).to_frame(spark)
+    return grow(cells, DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30), reassign=True, store=True).to_frame(spark)
 
 
 @query("resumed_tree_nodes", "SPL-15 SNK-6")
@@ -122,11 +123,11 @@ def resumed_tree_nodes(spark, sf):
     """Grow one level, store, reload, and go on from the open leaves."""
     cells = document_markers(spark, sf).select("cell_id", *DOC_MARKERS)
     p = PROFILES["marker"].with_options(min_cells=100, min_side=30)
-    first = grow(cells, DOC_MARKERS, p, max_depth=1)
+    first = grow(cells, DOC_MARKERS, p, max_depth=1, store=True)
     path = scratch(spark, "tree")
     W.save_tree({"nodes": first.to_frame(spark)}, path, "first")
     stored = W.load_tree(spark, path, "first").select(*NODES.fieldNames())
-    return grow(cells, DOC_MARKERS, p, tree=reopen(Tree.from_frame(stored), ["depth"])).to_frame(spark)
+    return grow(cells, DOC_MARKERS, p, tree=reopen(Tree.from_frame(stored), ["depth"]), store=True).to_frame(spark)
 
 
 @query("vetoed_tree_nodes", "SPL-14 MIX-21 DIM-6")
@@ -134,7 +135,7 @@ def vetoed_tree_nodes(spark, sf):
     cells = document_markers(spark, sf).select("cell_id", *DOC_MARKERS)
     long = document_expression(spark, sf).select("cell_id", "feature", "value")
     veto = X.expression_veto(long, genes_per_side=50)
-    return grow(cells, DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30), veto=veto, max_depth=2).to_frame(spark)
+    return grow(cells, DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30), veto=veto, max_depth=2, store=True).to_frame(spark)
 
 
 @query("expression_tree_nodes", "SPL-7 SPL-11 QC-6")
@@ -244,7 +245,7 @@ def document_consensus(spark, sf):
     lacking = [c for c in ("share_accent", "share_o")]
     panel = cells.select("batch", "cell_id", *[
         (F.when(F.col("batch") != "b2", F.col(c)) if c in lacking else F.col(c)).alias(c) for c in DOC_MARKERS])
-    long = document_expression(spark, sf)
+    long = materialize(document_expression(spark, sf))
     p = PROFILES["consensus"].with_options(spread_guard=False, unique_per_cells=1e9, unique_cap=10)
     tree = grow_consensus(panel, DOC_MARKERS, long, p, child_cutoff=0.1, max_depth=3, genes_per_side=60)
     return panel, long, tree
@@ -268,6 +269,7 @@ def consensus_weights(spark, sf):
 
 def sided_documents(spark, sf, top=80):
     rows, features = packed_documents(spark, sf, top)
+    rows = materialize(rows)
     marks = document_markers(spark, sf).select("cell_id", "share_e")
     both = rows.join(marks, "cell_id")
     centre = both.agg(F.avg("share_e").alias("c"))
@@ -310,7 +312,7 @@ def passed_through_nodes(spark, sf):
 @query("pooled_components", "XDS-15 DIM-1 DIF-5")
 def pooled_components(spark, sf):
     rows, features = packed_documents(spark, sf, 100)
-    return PP.pooled_components(rows, len(features))
+    return PP.pooled_components(materialize(rows), len(features))
 
 
 @query("stored_node_components", "XDS-16 TRE-11", """
@@ -560,14 +562,12 @@ def stream_scored_cells(spark, sf):
 
 
 @query("stream_leaf_counts", "STR-2", """
-SELECT CAST(date_part('epoch', date_trunc('day', ts)) AS BIGINT) AS day, CASE WHEN value > 20 THEN 'R' ELSE 'L' END AS leaf, count(*) AS n FROM events
-WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts) - INTERVAL 1 HOUR) FROM events) GROUP BY ALL""")
+SELECT CAST(date_part('epoch', date_trunc('day', ts)) AS BIGINT) AS day, CASE WHEN value > 20 THEN 'R' ELSE 'L' END AS leaf, count(*) AS n FROM events GROUP BY ALL""")
 def stream_leaf_counts(spark, sf):
     source, sink = scratch(spark, "events-in"), scratch(spark, "events-out")
     events = table(spark, sf, "events").select("event_id", "ts", "value")
-    # files in time order, as they would arrive
-    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(source)
-    stream = scorer.read_cells(spark, source, events.schema, 1)
-    scored = stream.withColumn("leaf", F.when(F.col("value") > 20, "R").otherwise("L"))
-    scorer.run_to_table(scorer.leaf_counts(scored, "ts", "leaf"), sink, scratch(spark, "events-state"))
-    return spark.read.parquet(sink).select(F.unix_timestamp("window_start").alias("day"), "leaf", "n")
+    events.repartition(4).write.parquet(source)
+    scored = scorer.read_cells(spark, source, events.schema).withColumn("leaf", F.when(F.col("value") > 20, "R").otherwise("L"))
+    scorer.run_updates(scorer.leaf_counts(scored, "ts", "leaf"), sink, scratch(spark, "events-state"))
+    counts = scorer.latest_counts(spark.read.parquet(sink), ["window_start", "leaf"])
+    return counts.select(F.unix_timestamp("window_start").alias("day"), "leaf", "n")

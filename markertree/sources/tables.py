@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markertree.session import materialize
+
 MARKERS = ["qty", "price", "disc", "tax"]
 
 
@@ -94,7 +96,7 @@ def packed_documents(spark: SparkSession, sf_dir: str, top: int = 300) -> tuple[
     from markertree.operators.features import variable_features
     from markertree.operators.linear import feature_index, pack_rows
 
-    long = document_expression(spark, sf_dir)
+    long = materialize(document_expression(spark, sf_dir))
     cells = document_markers(spark, sf_dir).select("batch", "cell_id", "lang")
     chosen = feature_index(variable_features(long, cells, top=top, min_disp=None).select("feature"))
     return pack_rows(long.select("cell_id", "feature", "value"), cells, chosen), chosen

@@ -30,6 +30,7 @@ def score_projection(cells: DataFrame, weights: list[float], low: float, high: f
 
 def leaf_counts(scored: DataFrame, time: str, leaf: str, window: str = "1 day", late: str = "1 hour", by: list[str] = ()) -> DataFrame:
     """Cells per window and leaf; the watermark lets closed windows leave the state."""
+    scored = scored.withColumn(time, F.col(time).cast("timestamp"))
     stream = scored.withWatermark(time, late) if scored.isStreaming else scored
     return stream.groupBy(F.window(time, window), *by, leaf).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").alias("window_start"), *by, leaf, "n")
@@ -40,3 +41,19 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option(
         "path", path).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain an aggregating stream: every micro-batch appends the groups it changed, tagged with its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch_number", F.lit(number)).write.mode("append").parquet(path)
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+
+
+def latest_counts(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Current value of every group from the tagged updates."""
+    return updates.groupBy(*keys).agg(F.max_by("n", "batch_number").alias("n"))
