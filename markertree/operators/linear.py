@@ -454,14 +454,18 @@ def align_views(rows: DataFrame, arrays: list[str], widths: list[int], k: int, e
         return m @ root
 
     q = [whiten(i, rng.standard_normal((widths[i], k))) for i in range(V)]
-    history = []
+    history: list[float] = []
+    best = list(q)
     for _ in range(epochs):
         objective = 0.0
         for i in range(V):
             m = solve[i] @ sum(cross[i][j] @ q[j] for j in range(V) if j != i)
             q[i] = whiten(i, m)
             objective += float(np.trace(q[i].T @ inverse_other[i] @ m))
+        if not history or objective > max(history):
+            best = list(q)
         history.append(objective)
+    q = best  # with missing rows an epoch may lose a little, so the best one is kept
     corrs = []
     for i in range(V):
         for j in range(i + 1, V):
