@@ -73,8 +73,11 @@ def _maximize(n, x, scatter, resp, diagonal):
     return mass, first, second, means, covs
 
 
-def _start(n, x, k):
-    """Deterministic start: weighted quantiles along the main axis, then a few Lloyd rounds."""
+def _start(n, x, k, minor: bool = False):
+    """Deterministic start: weighted quantiles along the main axis, then a few Lloyd rounds.
+
+    ``minor`` slices across the shortest axis instead, without Lloyd rounds, which would turn it back.
+    """
     total = n.sum()
     centre = (n @ x) / total
     diff = x - centre
@@ -82,12 +85,17 @@ def _start(n, x, k):
     axis[0] = 1.0
     if x.shape[1] > 1:
         _, vectors = np.linalg.eigh((n[:, None] * diff).T @ diff)
-        axis = vectors[:, -1]
+        axis = vectors[:, 0 if minor else -1]
         if axis[np.abs(axis).argmax()] < 0:
             axis = -axis
     along = diff @ axis
     order = np.argsort(along, kind="stable")
     upto = np.cumsum(n[order])
+    if minor:
+        label = np.minimum(((upto - n[order] / 2) / total * k).astype(int), k - 1)
+        resp = np.zeros((len(x), k))
+        resp[order, label] = 1.0
+        return resp
     at = np.searchsorted(upto, (np.arange(k) + 0.5) / k * total)
     centres = x[order[np.minimum(at, len(x) - 1)]].astype(float)
     label = None
@@ -108,9 +116,21 @@ def _start(n, x, k):
 
 def fit_mixture(n, x, scatter, k: int, tol: float = 1e-3, max_iter: int = 100, diagonal: bool = False,
                 trace: list | None = None) -> Mixture:
-    """Expectation-maximisation on weighted knots. ``trace`` collects the mean log-likelihood per round."""
+    """Expectation-maximisation on weighted knots. ``trace`` collects the mean log-likelihood per round.
+
+    In two dimensions a second start across the short axis is tried too, and the likelier fit wins.
+    """
+    fit = _run_em(n, x, scatter, _start(n, x, k), tol, max_iter, diagonal, trace)
+    if k > 1 and x.shape[1] > 1:
+        second = _run_em(n, x, scatter, _start(n, x, k, minor=True), tol, max_iter, diagonal, None)
+        if second.mean_ll > fit.mean_ll:
+            return second
+    return fit
+
+
+def _run_em(n, x, scatter, resp, tol, max_iter, diagonal, trace) -> Mixture:
     total = n.sum()
-    mass, first, second, means, covs = _maximize(n, x, scatter, _start(n, x, k), diagonal)
+    mass, first, second, means, covs = _maximize(n, x, scatter, resp, diagonal)
     weights = mass / mass.sum()
     previous, rounds = -np.inf, 0
     for rounds in range(1, max_iter + 1):
