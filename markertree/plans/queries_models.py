@@ -38,31 +38,31 @@ COLS = ["key", "n", "n_unique", "k_bic", "k_merged", "similarity", "dip", "filte
 
 @query("dip_by_marker", "MIX-10 VIS-7")
 def dip_by_marker(spark, sf):
-    return S.dip_statistics(document_markers(spark, sf), ["batch"], DOC_MARKERS)
+    return S.dip_statistics(materialize(document_markers(spark, sf)), ["batch"], DOC_MARKERS)
 
 
 @query("component_count_curves", "MIX-1 MIX-3")
 def component_count_curves(spark, sf):
-    return S.component_count_curve(document_markers(spark, sf), ["batch"], DOC_MARKERS, 6)
+    return S.component_count_curve(materialize(document_markers(spark, sf)), ["batch"], DOC_MARKERS, 6)
 
 
 @query("marker_scan", "MIX-1 MIX-6 MIX-6a MIX-9 MIX-11 SPL-1 SPL-2 SPL-3")
 def marker_scan(spark, sf):
-    cells = document_markers(spark, sf)
+    cells = materialize(document_markers(spark, sf))
     limits = S.group_limits(cells, ["batch"], DOC_MARKERS)
     return S.scan_markers(cells, ["batch"], DOC_MARKERS, limits, PROFILES["marker"]).select("batch", *COLS)
 
 
 @query("marker_scan_entropy", "MIX-12 SPL-2")
 def marker_scan_entropy(spark, sf):
-    cells = document_markers(spark, sf)
+    cells = materialize(document_markers(spark, sf))
     limits = S.group_limits(cells, ["batch"], DOC_MARKERS)
     return S.scan_markers(cells, ["batch"], DOC_MARKERS, limits, PROFILES["entropy"]).select("batch", *COLS, "entropy")
 
 
 @query("marker_pair_scan", "SPL-1 JOI-9 MIX-1")
 def marker_pair_scan(spark, sf):
-    cells = document_markers(spark, sf).select("batch", *DOC_MARKERS)
+    cells = materialize(document_markers(spark, sf).select("batch", *DOC_MARKERS))
     limits = S.group_limits(cells, ["batch"], DOC_MARKERS)
     pairs = [(b, "share_a", "share_e") for b in ("b0", "b1", "b2")] + [(b, "share_n", "share_o") for b in ("b0", "b1", "b2")]
     return S.scan_pairs(cells, ["batch"], pairs, limits, PROFILES["consensus"]).select("batch", *COLS)
@@ -70,7 +70,7 @@ def marker_pair_scan(spark, sf):
 
 @query("marker_components", "MIX-1 MIX-6")
 def marker_components(spark, sf):
-    cells = document_markers(spark, sf)
+    cells = materialize(document_markers(spark, sf))
     limits = S.group_limits(cells, ["batch"], DOC_MARKERS)
     return S.component_table(S.scan_markers(cells, ["batch"], DOC_MARKERS, limits, PROFILES["marker"]), ["batch"])
 
@@ -106,7 +106,7 @@ def marker_tree_cells(spark, sf):
 @query("marker_tree_agreement", "EVL-1 EVL-3 EVL-4")
 def marker_tree_agreement(spark, sf):
     cells = document_tree(spark, sf).assign(document_markers(spark, sf))
-    t = E.contingency(cells, "lang", "path")
+    t = materialize(E.contingency(cells, "lang", "path"))
     from markertree.session import attach_row
 
     return attach_row(E.rand_indices(t), E.adjusted_mutual_info(t))
@@ -281,7 +281,7 @@ def sided_documents(spark, sf, top=80):
 @query("pseudo_marker_directions", "XDS-9")
 def pseudo_marker_directions(spark, sf):
     rows, features = sided_documents(spark, sf)
-    m = PP.pseudo_marker(rows, len(features))
+    m = PP.pseudo_marker(materialize(rows), len(features))
     out = [(b, features[i], float(m["w"][i]), float(d[i])) for b, d in sorted(m["delta"].items()) for i in range(len(features))]
     return spark.createDataFrame(out, "batch string, feature string, w double, delta double")
 
@@ -289,13 +289,13 @@ def pseudo_marker_directions(spark, sf):
 @query("retrained_node_cells", "XDS-10 XDS-17 KNN-2")
 def retrained_node_cells(spark, sf):
     rows, features = sided_documents(spark, sf)
-    out = PP.refresh_level(rows, len(features), ["share_e"], ["retrain", "mixture", "fill"])
+    out = PP.refresh_level(materialize(rows), len(features), ["share_e"], ["retrain", "mixture", "fill"])
     return out.select("batch", "cell_id", "side", "h")
 
 
 @query("mixture_split_of_projection", "XDS-13 MIX-18")
 def mixture_split_of_projection(spark, sf):
-    h = document_markers(spark, sf).select("batch", "cell_id", F.col("share_e").alias("h"))
+    h = materialize(document_markers(spark, sf).select("batch", "cell_id", F.col("share_e").alias("h")))
     return PP.split_projection_by_mixture(h, ["batch"])
 
 
@@ -410,8 +410,8 @@ def pls_token_weights(spark, sf):
 
 @query("loading_and_score_genes", "DIF-4 WIN-3 CCA-6")
 def loading_and_score_genes(spark, sf):
-    long = document_expression(spark, sf)
-    marks = document_markers(spark, sf)
+    long = materialize(document_expression(spark, sf))
+    marks = materialize(document_markers(spark, sf))
     loadings = L.pls_weights_sparse(long, marks.select("batch", "cell_id", F.col("share_e").alias("y")), ["batch"], ["cell_id"])
     groups = marks.select("batch", "cell_id", F.when(F.col("share_e") > 0.1, "R").otherwise("L").alias("group"))
     scores = FE.welch_scores(long, groups, ["cell_id"], ["batch"])

@@ -54,6 +54,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer splits than the cluster has cores; larger inputs pass untouched.
+
+    Meant for narrow scans before costly row work (one big file with a single row group, say).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # A table may be broadcast with a hint only when its row count is bounded by
 # construction (nodes, components, selected features), never by hope.
 BROADCAST_ROW_LIMIT = 200_000

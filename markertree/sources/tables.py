@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markertree.session import materialize
+from markertree.session import materialize, spread
 
 MARKERS = ["qty", "price", "disc", "tax"]
 
@@ -45,7 +45,7 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse wide matrix: cell = document, feature = lower-cased letter run, batch = source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     words = docs.select(
         F.col("source").alias("batch"),
         F.col("doc_id").cast("string").alias("cell_id"),
@@ -68,15 +68,14 @@ DOC_MARKERS = [f"share_{c}" for c in LETTERS] + ["share_accent", "log_chars"]
 
 def document_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense marker table with real modes: letter shares of whole texts, three batches, language as truth."""
-    docs = table(spark, sf_dir, "documents")
-    low = F.lower("text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).withColumn("text", F.lower("text"))
     n = F.length("text")
-    share = lambda chars: (n - F.length(F.translate(low, chars, ""))) / F.greatest(n, F.lit(1))
+    share = lambda pattern: F.regexp_count("text", F.lit(pattern)) / F.greatest(n, F.lit(1))
     return docs.select(
         F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")).alias("batch"),
         F.col("doc_id").cast("string").alias("cell_id"), "lang",
         *[share(c).alias(f"share_{c}") for c in LETTERS],
-        share(ACCENTS).alias("share_accent"), F.log1p(n).alias("log_chars"),
+        share(f"[{ACCENTS}]").alias("share_accent"), F.log1p(n).alias("log_chars"),
     )
 
 
