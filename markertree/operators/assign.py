@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from markertree.functions.stats import (
     LN_2PI, RIDGE, bivariate_normal_logpdf, normal_logpdf, posterior_two,
 )
-from markertree.session import attach_row, bounded_rows
+from markertree.session import attach_row, bounded_rows, sized
 
 
 def project(long: DataFrame, weights: DataFrame, cell: list[str] = ("batch", "cell_id"),
             by: list[str] = ()) -> DataFrame:
     """h = sum over features of value * weight, per cell (and per node or batch in ``by``).
 
-    Absent entries are zeros, so the long table needs none. The weight table is left to the
-    optimizer, which broadcasts it when its measured size allows.
+    Absent entries are zeros, so the long table needs none. The weight table is broadcast when its
+    measured size allows.
     """
     return (
-        long.join(weights, ["feature", *[k for k in by if k in long.columns]])
+        long.join(sized(weights), ["feature", *[k for k in by if k in long.columns]])
         .groupBy(*dict.fromkeys([*cell, *by]))
         .agg(F.sum(F.col("value") * F.col("w")).alias("h"))
     )
@@ -60,7 +60,7 @@ def side_posterior(cells: DataFrame, side: str, markers: list[str], by: list[str
             aggs += [F.avg(pick(m)).alias(f"_m{s}{i}"), F.var_samp(pick(m)).alias(f"_v{s}{i}")]
         if len(markers) == 2:
             aggs.append(F.covar_samp(pick(markers[0]), pick(markers[1])).alias(f"_c{s}"))
-    stats = labelled.groupBy(*by).agg(*aggs)
+    stats = sized(labelled.groupBy(*by).agg(*aggs))
     joined = labelled.join(stats, list(by)) if by else attach_row(labelled, stats)
 
     def density(s: str) -> Column:

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markertree.session import attach_row
+from markertree.session import attach_row, sized
 
 
 def moment_aggregates(cols: list[str], ddof: int = 1) -> list:
@@ -31,6 +31,7 @@ def weighted_moments(df: DataFrame, by: list[str], cols: list[str], weight: str)
         F.sum(weight).alias("weight"),
         *[(F.sum(F.col(weight) * F.col(c)) / F.sum(weight)).alias(f"mean_{c}") for c in cols],
     )
+    centres = sized(centres)
     joined = df.join(centres, list(by)) if by else attach_row(df, centres)
     centred = joined.select(
         *by, F.col(weight).alias("_w"), *[(F.col(c) - F.col(f"mean_{c}")).alias(f"_d_{c}") for c in cols]
@@ -84,7 +85,7 @@ def histogram(df: DataFrame, by: list[str], value: str, lo, hi, bins: int) -> Da
 
 def feature_histogram(long: DataFrame, by: list[str], bins: int) -> DataFrame:
     """Histogram of every feature of a long table between the feature's own minimum and maximum."""
-    limits = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    limits = sized(long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")))
     joined = long.join(limits, "feature").filter(F.col("_hi") > F.col("_lo"))
     return histogram(joined, [*by, "feature"], "value", F.col("_lo"), F.col("_hi"), bins)
 

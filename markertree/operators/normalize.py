@@ -3,10 +3,10 @@ back, never computed in a window over a feature: one feature may hold most of th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from markertree.session import attach_row
+from markertree.session import attach_row, sized
 
 from markertree.functions.stats import array_norm, hashed_normal
 
@@ -15,29 +15,30 @@ def clr_by_feature(long: DataFrame, by: list[str] = ("batch",)) -> DataFrame:
     """ln(x+1) minus the mean of ln(x+1) over the cells of each feature (and batch)."""
     keys = [*by, "feature"]
     logged = long.withColumn("value", F.log1p("value"))
-    centre = logged.groupBy(*keys).agg(F.avg("value").alias("_centre"))
+    centre = sized(logged.groupBy(*keys).agg(F.avg("value").alias("_centre")))
     return logged.join(centre, keys).withColumn("value", F.col("value") - F.col("_centre")).drop("_centre")
 
 
 def clr_by_cell(long: DataFrame, cell: list[str] = ("cell_id",)) -> DataFrame:
-    """The same, centred per cell."""
-    logged = long.withColumn("value", F.log1p("value"))
-    centre = logged.groupBy(*cell).agg(F.avg("value").alias("_centre"))
-    return logged.join(centre, list(cell)).withColumn("value", F.col("value") - F.col("_centre")).drop("_centre")
+    """The same, centred per cell. A cell has at most one row per feature, so a window (one shuffle) is safe."""
+    logged = F.log1p("value")
+    return long.withColumn("value", logged - F.avg(logged).over(Window.partitionBy(*cell)))
 
 
 def clr_wide(cells: DataFrame, markers: list[str], by: list[str] | None = None) -> DataFrame:
     """CLR of a wide marker table: one small aggregate, one pass, no row explosion."""
     by = list(by or [])
     centre = cells.groupBy(*by).agg(*[F.avg(F.log1p(f"`{m}`")).alias(f"_c_{m}") for m in markers])
+    centre = sized(centre) if by else centre
     joined = cells.join(centre, by) if by else attach_row(cells, centre)
     keep = [c for c in cells.columns if c not in markers]
     return joined.select(*keep, *[(F.log1p(f"`{m}`") - F.col(f"_c_{m}")).alias(m) for m in markers])
 
 
 def depth_normalize(long: DataFrame, cell: list[str] = ("cell_id",), target: float = 1e4) -> DataFrame:
-    total = long.groupBy(*cell).agg(F.sum("value").alias("_total"))
-    return long.join(total, list(cell)).withColumn(
+    """x * target / total of the cell; one shuffle, since a cell has at most one row per feature."""
+    total = F.sum("value").over(Window.partitionBy(*cell))
+    return long.withColumn("_total", total).withColumn(
         "value", F.when(F.col("_total") != 0, F.col("value") * F.lit(target) / F.col("_total")).otherwise(F.lit(0.0))
     ).drop("_total")
 
@@ -53,7 +54,7 @@ def zscore(long: DataFrame, by: list[str] = (), clip: float | None = 10.0, centr
     Expects all values present (dense features); sparse tables use the Gram algebra instead.
     """
     keys = [*by, "feature"]
-    stats = long.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    stats = sized(long.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")))
     sd = F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))
     z = ((F.col("value") - F.col("_m")) if centre else F.col("value")) / sd
     if clip is not None:
@@ -100,9 +101,9 @@ def jitter(long: DataFrame, scale: float = 0.01, seed: int = 0, keys: list[str]
 def smooth(long: DataFrame, by: list[str] = ("batch",), seed: int = 0, scale: float = 0.01) -> DataFrame:
     """Centre-log-ratio first for features whose values are all >= 0, then jitter."""
     keys = [*by, "feature"]
-    lows = long.groupBy(*keys).agg(
+    lows = sized(long.groupBy(*keys).agg(
         (F.min("value") >= 0).alias("_counts"), F.avg(F.when(F.col("value") > -1, F.log1p("value"))).alias("_centre")
-    )
+    ))
     out = long.join(lows, keys).withColumn(
         "value", F.when(F.col("_counts"), F.log1p("value") - F.col("_centre")).otherwise(F.col("value"))
     ).drop("_counts", "_centre")

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markertree.functions.stats import bivariate_normal_logpdf, normal_logpdf
 from markertree.operators.quantiles import exact_quantiles
+from markertree.session import sized
 
 
 def cells_with_features(long: DataFrame, min_features: int, cell: list[str] = ("cell_id",)) -> DataFrame:
-    keep = long.groupBy(*cell).agg(F.count_if(F.col("value") > 0).alias("_n")).filter(F.col("_n") >= min_features)
-    return long.join(keep.select(*cell), list(cell), "left_semi")
+    """A cell has at most one row per feature, so counting in a window costs one shuffle and no join."""
+    detected = F.count_if(F.col("value") > 0).over(Window.partitionBy(*cell))
+    return long.withColumn("_n", detected).filter(F.col("_n") >= min_features).drop("_n")
 
 
 def features_in_cells(long: DataFrame, min_cells: int, by: list[str] = ()) -> DataFrame:
     keys = [*by, "feature"]
     keep = long.groupBy(*keys).agg(F.count_if(F.col("value") > 0).alias("_n")).filter(F.col("_n") >= min_cells)
-    return long.join(keep.select(*keys), keys, "left_semi")
+    return long.join(sized(keep.select(*keys)), keys, "left_semi")
 
 
 def flag_by_prefix(features: DataFrame, prefix: str, flag: str = "flagged") -> DataFrame:
@@ -47,7 +49,7 @@ def varying_features(long: DataFrame, by: list[str] = ()) -> DataFrame:
     """Drop features without variance."""
     keys = [*by, "feature"]
     keep = long.groupBy(*keys).agg((F.max("value") > F.min("value")).alias("_v")).filter("_v")
-    return long.join(keep.select(*keys), keys, "left_semi")
+    return long.join(sized(keep.select(*keys)), keys, "left_semi")
 
 
 def distinct_counts(long: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -109,13 +111,13 @@ def dense_core(cells: DataFrame, leaf: str, markers: list[str], quantile: float
     if len(markers) == 2:
         b = markers[1]
         aggs += [F.avg(b).alias("_mb"), F.var_samp(b).alias("_vb"), F.covar_samp(a, b).alias("_cab")]
-    stats = cells.groupBy(leaf).agg(*aggs)
+    stats = sized(cells.groupBy(leaf).agg(*aggs))
     density = (
         normal_logpdf(a, "_ma", "_va") if len(markers) == 1
         else bivariate_normal_logpdf(a, b, "_ma", "_mb", "_va", "_vb", "_cab")
     )
     scored = cells.join(stats, leaf).withColumn("log_density", density).select(*cells.columns, "log_density")
-    floor = exact_quantiles(scored, [leaf], "log_density", [quantile]).withColumnRenamed("q0", "_floor")
+    floor = sized(exact_quantiles(scored, [leaf], "log_density", [quantile]).withColumnRenamed("q0", "_floor"))
     return scored.join(floor, leaf).filter(F.col("log_density") > F.col("_floor")).drop("_floor")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from markertree.session import sized
+
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], bins: int = 4096) -> DataFrame:
     """One row per group with columns ``q0, q1, …`` for ``probs`` (linear interpolation)."""
@@ -19,7 +21,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
         data, by_ = data.withColumn("_all", F.lit(0)), ["_all"]
     else:
         by_ = by
-    limits = data.groupBy(*by_).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    limits = sized(data.groupBy(*by_).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     bin_ = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
     binned = data.join(limits, by_).select(*by_, "_v", "_n", bin_.cast("int").alias("_bin"))
@@ -33,7 +35,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     hit = ranked.withColumn(
         "_ranks", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))
     ).filter(F.size("_ranks") > 0)
-    inside = binned.drop("_n").join(hit.select(*by_, "_bin", "_before", "_ranks"), [*by_, "_bin"])
+    hit = sized(hit.select(*by_, "_bin", "_before", "_ranks"))
+    inside = binned.drop("_n").join(hit, [*by_, "_bin"])
     distinct = inside.groupBy(*by_, "_bin", "_v").agg(
         F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks")
     )

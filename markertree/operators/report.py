@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from markertree.functions.stats import normal_logpdf
 from markertree.operators.moments import histogram
 from markertree.operators.select import top_per_group
+from markertree.session import sized
 
 
 def density_grid(df: DataFrame, lo: str, hi: str, n: int) -> DataFrame:
@@ -33,7 +34,7 @@ def merged_curves(curves: DataFrame, group: list[str]) -> DataFrame:
 def subset_against_background(long: DataFrame, members: DataFrame, bins: int = 50, on: str = "cell_id") -> DataFrame:
     """Histograms of every feature for a subset and for all cells, over shared bins."""
     tagged = long.join(members.select(on).withColumn("_in", F.lit(1)), on, "left")
-    limits = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    limits = sized(long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")))
     ranged = tagged.join(limits, "feature").filter("_hi > _lo")
     roles = ranged.withColumn("role", F.explode(F.when(F.col("_in") == 1, F.array(F.lit("subset"), F.lit("all"))).otherwise(F.array(F.lit("all")))))
     return histogram(roles, ["role", "feature"], "value", F.col("_lo"), F.col("_hi"), bins)
@@ -42,7 +43,7 @@ def subset_against_background(long: DataFrame, members: DataFrame, bins: int = 5
 def marker_in_largest_leaves(assigned: DataFrame, leaf: str, marker: str, bins: int = 30, leaves: int = 12) -> DataFrame:
     """Distribution of a marker in the largest leaves (a top-k report)."""
     sizes = assigned.groupBy(leaf).agg(F.count(F.lit(1)).alias("_size"))
-    big = sizes.orderBy(F.desc("_size"), F.asc(leaf)).limit(leaves)
+    big = sized(sizes.orderBy(F.desc("_size"), F.asc(leaf)).limit(leaves))
     ends = assigned.agg(F.min(marker).alias("_lo"), F.max(marker).alias("_hi"))
     from markertree.session import attach_row
 
@@ -51,7 +52,7 @@ def marker_in_largest_leaves(assigned: DataFrame, leaf: str, marker: str, bins:
 
 def side_histograms(h: DataFrame, by: list[str], bins: int = 50) -> DataFrame:
     """Histograms of projections per node, side and role (train or query) over each node's range."""
-    ends = h.groupBy("node_id").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi")).filter("_hi > _lo")
+    ends = sized(h.groupBy("node_id").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi")).filter("_hi > _lo"))
     return histogram(h.join(ends, "node_id"), ["node_id", *by], "h", F.col("_lo"), F.col("_hi"), bins)
 
 

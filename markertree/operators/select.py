@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markertree.session import attach_row
+from markertree.session import attach_row, sized
 
 
 def keep_members(df: DataFrame, members: DataFrame, on: list[str] | str) -> DataFrame:
@@ -129,7 +129,7 @@ def shared_features(long: DataFrame, batch: str = "batch") -> DataFrame:
 
 def union_shared(long: DataFrame, batch: str = "batch") -> DataFrame:
     """Union of batches restricted to the features they all have."""
-    return long.join(shared_features(long, batch), "feature", "left_semi")
+    return long.join(sized(shared_features(long, batch)), "feature", "left_semi")
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -54,6 +54,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Store a table of group statistics so that joins against it are planned from its real size.
+
+    An unfinished aggregate has no size when the plan is made, so a join with it shuffles the large side first.
+    Read back from the shared folder, it is broadcast when it is under ``spark.sql.autoBroadcastJoinThreshold``
+    and merge-joined (with skew splitting) when it is not.
+    """
+    return materialize(df)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread an input that has fewer splits than the cluster has cores; larger inputs pass untouched.
 
