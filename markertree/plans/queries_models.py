@@ -36,7 +36,7 @@ COLS = ["key", "n", "n_unique", "k_bic", "k_merged", "similarity", "dip", "filte
 
 # ---------------------------------------------------------------- mixtures
 
-@query("dip_by_marker", "MIX-10 VIS-7")
+@query("dip_by_marker", "MIX-10 VIS-7 UDF-2")
 def dip_by_marker(spark, sf):
     return S.dip_statistics(materialize(document_markers(spark, sf)), ["batch"], DOC_MARKERS)
 
@@ -68,7 +68,7 @@ def marker_pair_scan(spark, sf):
     return S.scan_pairs(cells, ["batch"], pairs, limits, PROFILES["consensus"]).select("batch", *COLS)
 
 
-@query("marker_components", "MIX-1 MIX-6")
+@query("marker_components", "MIX-1 MIX-6 UDF-2")
 def marker_components(spark, sf):
     cells = materialize(document_markers(spark, sf))
     limits = S.group_limits(cells, ["batch"], DOC_MARKERS)

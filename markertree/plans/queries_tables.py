@@ -36,16 +36,15 @@ def csv_marker_table(spark, sf):
 
 
 @query("tsv_transposed_table", "SRC-2 SRC-3", """
-SELECT feature, cell_id, value FROM (
-  SELECT 'click' AS feature, CAST(user_id AS VARCHAR) AS cell_id, CAST(count(*) FILTER (event_type = 'click') AS DOUBLE) AS value FROM events GROUP BY user_id
-  UNION ALL
-  SELECT 'error', CAST(user_id AS VARCHAR), CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) FROM events GROUP BY user_id)""")
+SELECT feature, CAST(d AS VARCHAR) AS cell_id, CAST((SELECT count(*) FROM events WHERE event_type = feature AND day(ts) = d) AS DOUBLE) AS value
+FROM (SELECT DISTINCT event_type AS feature FROM events), range(1, 32) t(d)""")
 def tsv_transposed_table(spark, sf):
-    counts = event_counts(spark, sf).filter(F.col("feature").isin("click", "error"))
-    ids = [row[0] for row in table(spark, sf, "events").select(F.col("user_id").cast("string")).distinct().orderBy("user_id").collect()]
-    wide = counts.groupBy("feature").pivot("cell_id", ids).agg(F.first("value")).fillna(0.0)
+    """Feature x cell file whose cells are the days of the month (a fixed, short list of columns)."""
+    days = [str(d) for d in range(1, 32)]
+    events = table(spark, sf, "events").select(F.col("event_type").alias("feature"), F.dayofmonth("ts").cast("string").alias("day"))
+    wide = events.groupBy("feature").pivot("day", days).agg(F.count(F.lit(1)).cast("double")).fillna(0.0)
     path = scratch(spark, "transposed")
-    wide.coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
+    wide.write.option("sep", "\t").option("header", True).csv(path)
     return R.read_transposed_table(spark, path)
 
 

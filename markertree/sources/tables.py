@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,12 +81,16 @@ def document_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_expression(spark: SparkSession, sf_dir: str, min_cells: int = 10) -> DataFrame:
-    """Depth-normalised log token counts over tokens seen in at least ``min_cells`` documents, batched like the markers."""
+def document_expression(spark: SparkSession, sf_dir: str, min_share: float = 0.01) -> DataFrame:
+    """Depth-normalised log token counts over tokens seen in at least a share of the documents, batched like the markers.
+
+    The share bounds the number of tokens (mean distinct tokens per document / share) whatever the table size.
+    """
     from markertree.operators.normalize import depth_normalize, log_transform
     from markertree.operators.qc import features_in_cells
 
-    tokens = features_in_cells(token_counts(spark, sf_dir), min_cells)
+    least = math.ceil(min_share * table(spark, sf_dir, "documents").count())
+    tokens = features_in_cells(token_counts(spark, sf_dir), least)
     logged = log_transform(depth_normalize(tokens))
     return logged.select(
         F.concat(F.lit("b"), (F.col("cell_id").cast("bigint") % 3).cast("string")).alias("batch"), "cell_id", "feature", "value")
