@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markertree.llm import bpe, chat, packing, simhash, warc
+from markertree.llm import bpe, chat, packing, quality, simhash, warc
 from markertree.llm.common import table
 from markertree.session import shared_folder
 
@@ -94,3 +94,10 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f"""
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(quality.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality"))
+    return quality.assess(docs, model)
