@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markertree.llm import bpe, chat, packing, quality, simhash, warc
+from markertree.llm import bpe, chat, packing, quality, simhash, topk, toxicity, warc
 from markertree.llm.common import table
 from markertree.session import shared_folder
 
@@ -101,3 +101,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(quality.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality"))
     return quality.assess(docs, model)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op1_top_k"] = """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND NOT list_bool_or(list_transform(embedding, lambda c: c IS NULL OR NOT isfinite(c)))),
+s AS (
+  SELECT q.vec_id AS query_id, p.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(p.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM x q JOIN x p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
