@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markertree.llm import bpe, chat, packing, quality, simhash, topk, toxicity, warc
+from markertree.llm import bpe, chat, packing, quality, simhash, substring, topk, toxicity, warc
 from markertree.llm.common import table
 from markertree.session import shared_folder
 
@@ -124,3 +124,8 @@ s AS (
   FROM x q JOIN x p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@query
+def op6_duplicate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicate_passages(table(spark, sf_dir, "documents"))
