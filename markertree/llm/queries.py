@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markertree.llm import bpe, chat, packing, quality, simhash, substring, topk, toxicity, warc
-from markertree.llm.common import table
+from markertree.llm import bpe, chat, lm, packing, quality, simhash, substring, topk, toxicity, warc
+from markertree.llm.common import fold, table
 from markertree.session import shared_folder
 
 QUERIES = {}
@@ -129,3 +129,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 @query
 def op6_duplicate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.duplicate_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
