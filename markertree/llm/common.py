@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,3 +44,16 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text passes; null texts are judged as empty.
+
+    ``judge`` is called once in each task and returns the function that marks a list of texts.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = judge()
+        for batch in chunks(batches):
+            yield batch.filter(pa.array(passes([t or "" for t in batch.column("text").to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markertree.llm.common import chunks, fold, texts
+from markertree.llm.common import chunks, filter_by_text, fold, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -204,6 +204,12 @@ def fit(sample: DataFrame, epochs: int = 6, rate: float = 0.1) -> Model:
     return Model(model.weights, bias, float(a), float(b))
 
 
+def fails_rules(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with too few words or too many in repeated windows, and the number of such words."""
+    repeat = t.repeated_words()
+    return (t.n_words < LEAST_WORDS) | (100 * repeat > MOST_REPEATED * t.n_words), repeat
+
+
 def assess(docs: DataFrame, model: Model) -> DataFrame:
     """One row a document: rule counts, base_failed, probability of good quality, kept.
 
@@ -220,8 +226,7 @@ def assess(docs: DataFrame, model: Model) -> DataFrame:
             for text in values:
                 lines = [line for line in text.split("\n") if line.strip(SPACE)]
                 dup.append(len(lines) - len(set(lines)))
-            repeat = t.repeated_words()
-            failed = (t.n_words < LEAST_WORDS) | (100 * repeat > MOST_REPEATED * t.n_words)
+            failed, repeat = fails_rules(t)
             p = shared.value.probability(t.scores(shared.value))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(t.n_words), pa.array(t.word_chars),
@@ -233,3 +238,14 @@ def assess(docs: DataFrame, model: Model) -> DataFrame:
 
 
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
+
+
+def kept_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps; columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def passes(batch: list[str]) -> np.ndarray:
+        t = Texts(batch)
+        return ~fails_rules(t)[0] & (shared.value.probability(t.scores(shared.value)) >= REJECT_BELOW)
+
+    return filter_by_text(docs, lambda: passes)

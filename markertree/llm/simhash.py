@@ -234,3 +234,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFram
     least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_bits = classed.join(least, "root").select("bits", "component_id")
     return prints.join(by_bits, "bits").select("doc_id", "bits", "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, that with the smallest doc_id; columns as they are."""
+    first = near_duplicates(docs, width, reach).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(first, docs.doc_id.eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])

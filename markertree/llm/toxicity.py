@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markertree.llm.common import chunks, fold, texts
+from markertree.llm.common import chunks, filter_by_text, fold, texts
 from markertree.llm.quality import labelled_sample
 from markertree.llm.simhash import shingle_hashes
 from markertree.session import materialize
@@ -282,3 +282,15 @@ def score(docs: DataFrame, model: Model, held_out: int = 0) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, score double").select(
         "doc_id", F.coalesce(fold("doc_id", 5) == held_out, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows whose text is predicted toxic (score 0.5 or more); columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        scanner = Scanner(shared.value.weights, shared.value.clean)
+        return lambda batch: shared.value.score(
+            np.array([scanner.features(t) for t in batch]).reshape(-1, FEATURES)) < 0.5
+
+    return filter_by_text(docs, judge)
