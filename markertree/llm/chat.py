@@ -60,33 +60,28 @@ def chosen_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     # after k rounds: up is the ancestor 2^k above, score and depth cover the messages passed on the way
     state = materialize(up.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)))
     parents = m.select("conv_id", F.col("parent_id").alias("msg_id")).distinct()
-    steps = [state.select("conv_id", "msg_id", "up")]
-    while state.filter(F.col("up").isNotNull()).limit(1).count():
-        a, b = state.alias("a"), state.alias("b")
-        joined = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.msg_id")), "left")
-        nxt = materialize(joined.select(
-            "a.conv_id", "a.msg_id", F.col("b.up").alias("up"),
-            (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
-            (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
-            F.coalesce("b.root", "a.root").alias("root")))
-        if len(steps) > 62:
-            nxt = nxt.withColumn("up", F.lit(None).cast("long"))  # only cycles go on; they have no root
-        steps.append(nxt.select("conv_id", "msg_id", "up"))
-        state = nxt
-    roots = steps[0].filter(F.col("up").isNull()).select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_r"))
-    placed = state.join(roots, F.col("_c").eqNullSafe(F.col("conv_id")) & (F.col("_r") == F.col("root")), "left_semi")
-    leaves = placed.join(parents.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m")),
+    active, done = state.filter(F.col("up").isNotNull()), state.filter(F.col("up").isNull())
+    steps = []
+    while len(steps) < 63 and active.limit(1).count():  # after 63 rounds only cycles are left; they have no root
+        steps.append(active.select("conv_id", "msg_id", "up"))
+        a, b = active.alias("a"), active.unionByName(done).alias("b")
+        joined = materialize(a.join(
+            b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.msg_id"))).select(
+            "a.conv_id", "a.msg_id", F.col("b.up").alias("up"), (F.col("a.score") + F.col("b.score")).alias("score"),
+            (F.col("a.depth") + F.col("b.depth")).alias("depth"), F.col("b.root").alias("root")))
+        active, done = joined.filter(F.col("up").isNotNull()), done.unionByName(joined.filter(F.col("up").isNull()))
+    leaves = done.join(parents.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m")),
                          F.col("_c").eqNullSafe(F.col("conv_id")) & (F.col("_m") == F.col("msg_id")), "left_anti")
     rank = Window.partitionBy("conv_id", "root").orderBy(F.desc("score"), "msg_id")
     on_path = leaves.withColumn("path", F.row_number().over(rank)).filter(F.col("path") <= paths_per_tree).select(
         "conv_id", F.col("root").alias("root_id"), "path", "msg_id")
-    for step in reversed(steps[:-1]):  # the ancestors 2^k above, for falling k: each is added once
+    for step in reversed(steps):  # the ancestors 2^k above, for falling k: each is added once
         above = on_path.alias("p").join(step.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))
-                                        & (F.col("p.msg_id") == F.col("s.msg_id"))).filter(F.col("s.up").isNotNull())
+                                        & (F.col("p.msg_id") == F.col("s.msg_id")))
         on_path = materialize(on_path.unionByName(
             above.select("p.conv_id", "p.root_id", "p.path", F.col("s.up").alias("msg_id"))))
     body = m.select(F.col("conv_id").alias("_c"), F.col("msg_id").alias("_m"), "role", "text")
-    depth = state.select(F.col("conv_id").alias("_c2"), F.col("msg_id").alias("_m2"), "depth")
+    depth = done.select(F.col("conv_id").alias("_c2"), F.col("msg_id").alias("_m2"), "depth")
     return (
         on_path.join(body, F.col("_c").eqNullSafe(F.col("conv_id")) & (F.col("_m") == F.col("msg_id")))
         .join(depth, F.col("_c2").eqNullSafe(F.col("conv_id")) & (F.col("_m2") == F.col("msg_id")))
