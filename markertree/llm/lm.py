@@ -10,6 +10,7 @@ learning, a 6-gram's own occurrence is taken out of its counts. A text's score i
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -126,6 +127,23 @@ class Model:
         return total
 
 
+_UNPACKED: dict[int, tuple[np.ndarray, ...]] = {}
+"""A worker's copy of the newest tables, by broadcast."""
+
+
+def pack_tables(*arrays: np.ndarray) -> list[tuple[bytes, str]]:
+    """Mostly empty tables, squeezed: a broadcast lies on the disk of every executor."""
+    return [(zlib.compress(a.tobytes(), 1), a.dtype.str) for a in arrays]
+
+
+def unpacked(shared) -> tuple[np.ndarray, ...]:
+    packed = shared.value
+    if id(packed) not in _UNPACKED:
+        _UNPACKED.clear()
+        _UNPACKED[id(packed)] = tuple(np.frombuffer(zlib.decompress(raw), kind) for raw, kind in packed)
+    return _UNPACKED[id(packed)]
+
+
 def _lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
@@ -188,11 +206,10 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.concatenate(x).astype(np.int64)) for x in (where, zeros, ones)], ["slot", "n0", "n1"])
 
 
-def _learn(shared, rate: float, seed: int):
+def _learn(shared, start: np.ndarray, refined: np.ndarray, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        w, mass, seen = model.weights.copy(), np.zeros(GATES), np.full((GATES, INPUTS), 1e-3)
-        model = Model(model.zeros, model.ones, model.checks, w, model.refined)
+        w, mass, seen = start.copy(), np.zeros(GATES), np.full((GATES, INPUTS), 1e-3)
+        model = Model(*unpacked(shared), w, refined)
         for batch in batches:
             g_all = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
             n_all = batch.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
@@ -217,10 +234,10 @@ def _learn(shared, rate: float, seed: int):
     return run
 
 
-def _outcomes(shared):
+def _outcomes(shared, weights: np.ndarray, refined: np.ndarray):
     """Sums of ones and of all, for each (bits so far, nearest logit step), over 6-grams with their own occurrence left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = Model(*unpacked(shared), weights, refined)
         ones, total = np.zeros(256 * LOGIT_STEPS), np.zeros(256 * LOGIT_STEPS)
         for batch in batches:
             g = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -237,8 +254,8 @@ def _outcomes(shared):
     return run
 
 
-def train(counts: DataFrame, rates: tuple[float, ...] = (0.1, 0.05, 0.02)) -> Model:
-    """The mixing model of all 6-grams in ``counts``. What reaches the driver is bounded by SLOTS, GATES and LOGIT_STEPS."""
+def train(counts: DataFrame, rates: tuple[float, ...] = (0.1, 0.05, 0.02)):
+    """The mixing model of all 6-grams in ``counts``: (broadcast tables, weights, adaptive map). What reaches the driver is bounded by SLOTS, GATES and LOGIT_STEPS."""
     grams = counts.filter((F.col("key") >= 0) & (F.col("key") < F.lit(WORD_FLAG)))
     # neighbours in this order share contexts of every order, so few slots are in two partitions
     by_check = grams.repartitionByRange("key").mapInArrow(_slot_counts, "slot long, n0 long, n1 long").groupBy("slot").agg(
@@ -259,29 +276,24 @@ def train(counts: DataFrame, rates: tuple[float, ...] = (0.1, 0.05, 0.02)) -> Mo
     start[..., ORDER] = share[:, None]
     start[..., ORDER - 1] = (1 - share)[:, None] * share
     start[..., ORDER - 2] = (1 - share)[:, None] * (1 - share)
-    model = Model(zeros, ones, checks, start.reshape(GATES, INPUTS),
-                  np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, LOGIT_STEPS))), (256, 1)))
-    context = counts.sparkSession.sparkContext
+    weights = start.reshape(GATES, INPUTS)
+    refined = np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, LOGIT_STEPS))), (256, 1))
+    shared = counts.sparkSession.sparkContext.broadcast(pack_tables(zeros, ones, checks))
 
     def total(run) -> pd.DataFrame:
         return grams.mapInArrow(run, "at long, w double, mass double").groupBy("at").agg(
             F.sum("w").alias("w"), F.sum("mass").alias("mass")).toPandas()
 
     for k, rate in enumerate(rates):
-        shared = context.broadcast(model)
-        found = total(_learn(shared, rate, k))
-        weights = model.weights.ravel().copy()
+        found = total(_learn(shared, weights, refined, rate, k))
+        weights = weights.ravel().copy()
         some = found["mass"].to_numpy() > 0
         weights[found["at"].to_numpy()[some]] = (found["w"] / found["mass"]).to_numpy()[some]
-        model = Model(zeros, ones, checks, weights.reshape(GATES, INPUTS), model.refined)
-        shared.unpersist()
-    shared = context.broadcast(model)
-    found = total(_outcomes(shared))
-    refined = model.refined.ravel().copy()
-    i = found["at"].to_numpy()
-    refined[i] = (found["w"].to_numpy() + 8 * refined[i]) / (found["mass"].to_numpy() + 8)
-    shared.unpersist()
-    return Model(zeros, ones, checks, model.weights, refined.reshape(256, LOGIT_STEPS))
+        weights = weights.reshape(GATES, INPUTS)
+    found = total(_outcomes(shared, weights, refined))
+    flat, i = refined.ravel().copy(), found["at"].to_numpy()
+    flat[i] = (found["w"].to_numpy() + 8 * flat[i]) / (found["mass"].to_numpy() + 8)
+    return shared, weights, flat.reshape(256, LOGIT_STEPS)
 
 
 class Scorer:
@@ -312,10 +324,10 @@ class Scorer:
         return np.add.reduceat(out, np.cumsum(size) - size)
 
 
-def _score(shared):
+def _score(tables, weights: np.ndarray, refined: np.ndarray, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, counts, denominator = shared.value
-        scorer = Scorer(model)
+        keys, counts, denominator = frequent.value
+        scorer = Scorer(Model(*unpacked(tables), weights, refined))
         for batch in chunks(batches):
             raw = [_lowered(t) for t in batch.column("text").to_pylist()]
             total = scorer.log10(raw)
@@ -357,7 +369,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     counts = corpus_counts(rows.filter(~F.col("held_out")))
     words = counts.filter(F.col("key") >= F.lit(WORD_FLAG))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = train(counts)
+    model = train(counts)  # tables, weights, adaptive map
     step = F.floor(F.log2("n") * 4).cast("int")
     sizes = sorted(words.groupBy(step.alias("s")).count().collect(), reverse=True)  # at most 256 steps
     least, held = None, 0
@@ -366,15 +378,15 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         if held > FREQUENT_WORDS:
             break
         least = s
-    frequent = (words.filter(step >= least).orderBy("key") if least is not None else words.limit(0)).toArrow()
-    keys, values = frequent.column("key").to_numpy(), frequent.column("n").to_numpy()
+    common = (words.filter(step >= least) if least is not None else words.limit(0)).toArrow()
+    keys, values = common.column("key").to_numpy(), common.column("n").to_numpy()
     order = np.argsort(keys)
     denominator = n + v + 1
-    shared = docs.sparkSession.sparkContext.broadcast((model, keys[order], values[order], denominator))
+    frequent = docs.sparkSession.sparkContext.broadcast((keys[order], values[order], denominator))
     schema = ("doc_id long, row long, n_tokens long, n_known long, base double, n_bytes long, score double, "
               "rare array<long>, rare_n array<long>")
     scored = materialize(rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
-        _score(shared), schema))
+        _score(*model, frequent), schema))
     apart = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select(
         "row", F.col("r.rare").alias("key"), F.col("r.rare_n").alias("m"))
     known = words.select("key", F.col("n").alias("c"))
