@@ -39,7 +39,9 @@ LOGIT_STEPS = 33
 FREQUENT_WORDS = 1 << 20
 """Bound on the word counts that are broadcast; other words meet their counts in a join."""
 WORD_FLAG = 1 << 62
-CACHE_BITS = 21
+CACHE_BITS = 20
+CHUNK = 1 << 21
+"""Bytes of text that a task works on at once."""
 MOST = 65_535
 
 
@@ -161,7 +163,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     words: Counter = Counter()
     keys, counts = [], []
-    for batch in chunks(batches):
+    for batch in chunks(batches, CHUNK):
         raw = [_lowered(t) for t in batch.column("text").to_pylist()]
         for r in raw:
             words.update(r.split())
@@ -169,13 +171,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, _ = ngrams(raw)
         u, n = np.unique(g, return_counts=True)
         keys.append(u), counts.append(n)
-        if sum(map(len, keys)) > 3_000_000:
+        if sum(map(len, keys)) > 1_500_000:
             u, n = _merge(keys, counts)
             keys, counts = [u], [n]
-            if len(u) > 2_000_000:
+            if len(u) > 1_200_000:
                 yield out(u.view(np.int64), n)
                 keys, counts = [], []
-        if len(words) > 1_000_000:
+        if len(words) > 400_000:
             yield out([word_key(w) for w in words], list(words.values()))
             words = Counter()
     if words:
@@ -328,7 +330,7 @@ def _score(tables, weights: np.ndarray, refined: np.ndarray, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, denominator = frequent.value
         scorer = Scorer(Model(*unpacked(tables), weights, refined))
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK):
             raw = [_lowered(t) for t in batch.column("text").to_pylist()]
             total = scorer.log10(raw)
             words = [Counter(r.split()) for r in raw]
