@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from markertree.llm.common import chunks, texts
 NONE = np.int64(1) << 62
 SIDE_BY_SIDE = 64
 """Pieces of at most so many bytes are merged in arrays, longer ones one at a time."""
+DECODED_IDS = 1 << 19
 CACHED_PIECES = 1 << 20
 """Pieces that a task remembers before it starts anew."""
 
@@ -232,7 +234,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path, pattern))
-        for batch in chunks(batches):
+        for batch in chunks(batches, 1 << 21):
             ids = encoder.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
@@ -244,9 +246,16 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary(path, pattern).tokens.__getitem__
         for batch in batches:
-            raw = [b"".join(map(token, row or ())) for row in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
+            ids = batch.column("ids")
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+            at = 0
+            while at < len(batch):  # about DECODED_IDS ids at once
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + DECODED_IDS, "right")) - 1)
+                part = batch.slice(at, to - at)
+                raw = [b"".join(map(token, row.as_py() or ())) for row in part.column("ids")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("ids"), pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
+                at = to
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
