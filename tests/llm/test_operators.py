@@ -1,0 +1,225 @@
+"""Each operator against a plain version, on small rows with nulls, empty and long texts, repeats and clashing columns."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from markertree.llm import bpe, chat, lm, packing, quality, simhash, substring, topk, toxicity, warc
+
+DOCS = "doc_id long, text string, score double, bits string, length int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeéñ") for _ in range(r.randint(1, 7)))
+    passage = " ".join(word() for _ in range(70))
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, "One\n two  THREE"), (4, "One\n two  THREE"), (None, "lost id")]
+    rows += [(i, " ".join(word() for _ in range(r.randint(5, 90)))) for i in range(10, 40)]
+    rows += [(50 + i, f"{word()} {word()} {passage} {word()}") for i in range(4)]
+    rows += [(60, " ".join(word() for _ in range(6000))), (61, "x" * 3000 + "<|endoftext|> it's 12"), (62, rows[8][1])]
+    return spark.createDataFrame([(i, t, 0.0, "b", 1) for i, t in rows], DOCS)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_bpe_equals_tiktoken_and_round_trips(docs):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    plain = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=bpe.vocabulary(path, pattern).ranks, special_tokens={})
+    found = bpe.decode(bpe.encode(docs, path, pattern), path, pattern).collect()
+    want = Counter((r.doc_id, tuple(plain.encode_ordinary(r.text or "")), (r.text or "").encode()) for r in docs.collect())
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in found) == want
+
+
+def test_simhash_equals_brute_force(docs):
+    def bits(text):
+        w = words("".join(c.lower() if c.isascii() else c for c in text or ""))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i:i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    rows = docs.collect()
+    found = Counter((r.doc_id, r.bits % (1 << 64)) for r in simhash.near_duplicates(docs).collect())
+    assert found == Counter((r.doc_id, bits(r.text)) for r in rows)
+    r = np.random.default_rng(1)
+    own = r.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    own[700:] = own[:800] ^ (np.uint64(1) << r.integers(0, 63, 800).astype(np.uint64))
+    pairs = {(int(a), int(b)) for i, j in simhash.close_pairs(own, own, 4, leaf=16) for a, b in zip(i, j)}
+    assert pairs == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.bitwise_count(own[:, None] ^ own[None, :]) <= 4))}
+
+
+def test_simhash_shards_keep_links(spark):
+    r = random.Random(2)
+    values = [r.getrandbits(63) for _ in range(300)]
+    values += [v ^ (1 << r.randrange(62)) ^ (1 << r.randrange(62)) for v in values[:200]]
+    df = spark.createDataFrame([(v,) for v in values], "bits long")
+    roots = {n: g for n, g in simhash.components(simhash.hamming_links(df, 4, shard_rows=32)).collect()}
+    assert all(roots.get(a, a) == roots.get(b, b) for a, b in zip(values[:200], values[300:]))
+    assert len({roots.get(v, v) for v in values}) == 300
+
+
+def test_top_k_equals_brute_force(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=8) * (1 + i % 3)]) for i in range(300)]
+    rows += [(300 + i, rows[7][1]) for i in range(60)] + [rows[7], (400, None), (401, [1.0, float("nan")]), (402, [None] * 8)]
+    df = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, embedding array<double>, rank int")
+    found = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())
+    good = {i: np.floor(1024 * np.array(x)).astype(int) for i, x in rows[:360]}
+    want = [(q, n + 1, i, s) for q in good if q % 50 == 0 for n, (s, i) in enumerate(
+        sorted(((-int(good[q] @ good[i])), i) for i in good if i != q)[:5])]
+    assert found == sorted((q, n, i, -s) for q, n, i, s in want)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_pruned_search_is_exact():
+    r = np.random.default_rng(4)
+    x = (r.normal(size=(5000, 6)) * r.exponential(300, size=(5000, 1))).astype(np.int32)
+    q = np.concatenate([x[:20], np.zeros((1, 6), np.int32)])
+    which, ids, score = topk.search_group(np.arange(-21, 0), q, np.arange(5000), x, 7)
+    for n in range(21):
+        s = x.astype(np.int64) @ q[n].astype(np.int64)
+        top = np.lexsort((np.arange(5000), -s))[:7]
+        assert ids[which == n].tolist() == top.tolist() and score[which == n].tolist() == s[top].tolist()
+
+
+def test_packing_places_every_id_once(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    found = packing.pack(packing.tokenize_pieces(docs, path, public_tokenizers.PATTERN)).collect()
+    total = sum(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+    assert sum(r.length for r in found) == total
+    for r in docs.filter("doc_id in (60, 61)").collect():
+        ids = tokenizer.encode(r.text, add_special_tokens=False).ids + [0]
+        for p in (p for p in found if p.doc_id == r.doc_id):
+            part = np.array(ids[p.start:p.start + p.length], "<u4").tobytes()
+            assert zlib.crc32(part) == p.ids_crc32
+    by: dict = {}
+    for p in found:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for slots in by.values():
+        assert sum(n for _, n in slots) <= 2048
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(slots), sorted(slots)[1:])) and min(slots)[0] == 0
+
+
+def test_packing_plan_uses_counts():
+    r = random.Random(1)
+    for _ in range(100):
+        counts = Counter(r.randint(1, 49) for _ in range(r.randint(0, 80)))
+        used = Counter()
+        for kind, n in packing.plan_packing(dict(counts), 50):
+            assert sum(kind) <= 50
+            used.update({s: c * n for s, c in Counter(kind).items()})
+        assert used == counts
+
+
+def test_quality_counts_equal_plain_ones(docs):
+    model = quality.Model(np.zeros((4, 1 << quality.BITS), np.float32), 5.0)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality.assess(docs, model).collect():
+        t, w = text[r.doc_id], words(text[r.doc_id])
+        grams = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+        many = Counter(grams)
+        hit = {i + k for i, g in enumerate(grams) if many[g] > 1 for k in range(5)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(hit))
+        assert (r.n_symbols, r.n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(w) < 10 or 100 * len(hit) > 20 * len(w)) and r.kept == (not r.base_failed)
+
+
+def test_trie_walk_equals_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(8)
+    term = lambda: "".join(r.choice("abc") for _ in range(r.randint(3, 11)))
+    terms = {term(): 1.0 for _ in range(40)}
+    trie = toxicity.Trie(terms)
+    for _ in range(3000):
+        w = term()
+        near = [distance(w, t) for t in terms if distance(w, t) <= (toxicity.edits_allowed(t) if min(len(w), len(t)) >= 5 else 0)]
+        found = trie.match(w)
+        assert (found is None) == (not near) and (found is None or found[1] == min(near))
+
+
+def test_toxicity_scores_every_text(spark, sf, docs):
+    table = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    model = toxicity.fit(table("documents"), table("labels"))
+    rows = toxicity.score(docs, model).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert toxicity.without_toxic(docs, model).columns == docs.columns
+    empty = toxicity.fit(docs, table("labels").limit(0))
+    assert toxicity.score(docs, empty).filter("predicted = 1").count() == 0
+
+
+def test_repeated_passages_are_found_and_cut(docs):
+    passages = substring.duplicate_passages(docs).collect()
+    found = {(r.doc_id, r.source_doc_id) for r in passages}
+    assert {(51, 50), (52, 50), (53, 50)} <= found
+    assert {r.doc_id for r in passages} <= {51, 52, 53, 62}
+    left = substring.without_passages(docs, substring.duplicate_passages(docs))
+    assert left.columns == docs.columns and left.count() == docs.count()
+    assert all(len(words(r.text)) < 10 for r in left.filter("doc_id in (51, 52, 53)").collect())
+    assert substring.duplicate_passages(docs.limit(0)).count() == 0
+
+
+def test_cut_words_keeps_the_rest():
+    assert substring.cut_words(" a  bé\tc\nd ", [(1, 3)]) == " a  d "
+    assert substring.cut_words("", [(0, 1)]) == ""
+
+
+def test_language_model_base_is_exact(docs):
+    rows = lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect()
+    lower = {r.doc_id: (r.text or "").encode().lower().split() + [b""] for r in docs.collect()}
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter()
+    for r in docs.collect():
+        if not out(r.doc_id):
+            c.update(lower[r.doc_id])
+    n, v = sum(c.values()), len(c)
+    assert len(rows) == docs.count()
+    for r in rows:
+        w = lower[r.doc_id]
+        want = sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, out(r.doc_id))
+        assert abs(r.base_score - want) < 1e-6 * max(1, abs(want)) and r.score < 0
+
+
+def test_warc_round_trip_and_pushed_filters(spark, tmp_path):
+    rows = [(1, "u", "x" * 200), (2, "u\r\nv", "x" * 200), (2, "w", "x" * 200), (3, None, None), (4, "u", "é"), (5, "u", "é"), (None, "u", "x" * 200)]
+    pages = spark.createDataFrame([(a, b, c, "n") for a, b, c in rows], "page_id long, url string, html string, payload string")
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(warc.deduplicated(pages), path)
+    back = warc.read_archives(spark, path).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in back) == [
+        ("1", "response", None), ("2", "revisit", 1), ("2", "revisit", 1), ("3", "response", None), ("4", "response", None),
+        ("5", "response", None), ("None", "revisit", 1)]
+    assert {r.page_id: r.payload for r in back if r.record_type == "response"} == {
+        1: b"x" * 200, 3: b"", 4: "é".encode(), 5: "é".encode()}
+    assert warc.read_archives(spark, path).filter("record_type = 'response' and page_id > 3").count() == 2
+
+
+def test_chat_paths_of_a_tree(spark):
+    rows = [(1, 1, None, "user", "a<&|"), (1, 2, 1, "assistant", "<|end|>"), (1, 3, 1, "assistant", "no"), (1, 4, 2, "user", None),
+            (2, 1, 9, "user", "lone"), (3, 1, 2, "user", "cycle"), (3, 2, 1, "user", "cycle")]
+    score = {(1, 2): 2.0, (1, 3): 1.0}
+    df = spark.createDataFrame([(*r, score.get(r[:2])) for r in rows],
+                               "conv_id long, msg_id long, parent_id long, role string, text string, score double").fillna("")
+    done = chat.format_paths(chat.chosen_paths(df, 2)).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn(
+        "loss", chat.read_loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    found = sorted((r.conv_id, r.path, [t.text for t in r.turns], r.loss) for r in done)
+    assert found == [(1, 1, ["a<&|", "<|end|>", ""], "<|end|>"), (1, 2, ["a<&|", "no"], "no"), (2, 1, ["lone"], "")]
