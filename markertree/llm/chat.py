@@ -58,11 +58,12 @@ def chosen_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
         "conv_id", "msg_id", F.col("_m").alias("up"), "score", F.lit(0).alias("depth"),
         F.col("msg_id").alias("root"))
     # after k rounds: up is the ancestor 2^k above, score and depth cover the messages passed on the way
-    state = materialize(up.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)))
+    state = materialize(up.withColumn("depth", F.col("up").isNotNull().cast("long")))
     parents = m.select("conv_id", F.col("parent_id").alias("msg_id")).distinct()
     active, done = state.filter(F.col("up").isNotNull()), state.filter(F.col("up").isNull())
     steps = []
-    while len(steps) < 63 and active.limit(1).count():  # after 63 rounds only cycles are left; they have no root
+    rounds = state.count().bit_length()  # no path is longer than the table: what is active after them is on a cycle
+    while len(steps) < rounds and active.limit(1).count():
         steps.append(active.select("conv_id", "msg_id", "up"))
         a, b = active.alias("a"), active.unionByName(done).alias("b")
         joined = materialize(a.join(
