@@ -114,27 +114,15 @@ def nested_separation(separation: DataFrame, parent_of, node: str = "node_id", m
 
 
 def batch_alignment(df: DataFrame, node: str, side: str, batch: str, array: str) -> DataFrame:
-    """Mean squared distance between batch centroids per node side (all batch pairs), without forming pairs.
+    """Mean Euclidean distance between batch centroids per node side, over all pairs of batches.
 
-    For B centroids the mean over unordered pairs equals 2/(B-1) * sum |c|^2 minus 2/(B(B-1)) * |sum c|^2.
+    Centroids are one small row for each node, side, batch and dimension, so their pairs are few beside the cells.
     """
     dims = df.select(node, side, batch, F.posexplode(array).alias("dim", "v"))
     centroids = dims.groupBy(node, side, batch, "dim").agg(F.avg("v").alias("c"))
-    per_dim = centroids.groupBy(node, side, "dim").agg(
-        F.count(F.lit(1)).alias("b"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
-    b = F.col("b").cast("double")
-    gap = (b * F.col("ss") - F.col("s") * F.col("s")) * 2.0 / (b * (b - 1.0))
-    return per_dim.filter("b > 1").groupBy(node, side).agg(F.max("b").alias("n_batches"), F.sum(gap).alias("centroid_gap"))
-
-
-def benchmark_averages(records: DataFrame, exclude: list[str] = ()) -> DataFrame:
-    """Average minutes and components per dataset and method."""
-    kept = records.filter(~F.col("method").isin(list(exclude))) if exclude else records
-    return kept.groupBy("db", "method").agg(
-        (F.avg("time") / 60.0).alias("minutes"), F.avg("n_component").alias("n_component"))
-
-
-def label_slice(table: DataFrame, truth: str) -> DataFrame:
-    """One truth class of a contingency table with shares; table-sized."""
-    w = Window.partitionBy("truth")
-    return table.filter(F.col("truth") == truth).withColumn("share", F.col("n") / F.sum("n").over(w))
+    other = centroids.select(node, side, F.col(batch).alias("_other"), "dim", F.col("c").alias("_c"))
+    pairs = centroids.join(other, [node, side, "dim"]).filter(F.col(batch) < F.col("_other")).groupBy(
+        node, side, batch, "_other").agg(F.sqrt(F.sum((F.col("c") - F.col("_c")) * (F.col("c") - F.col("_c")))).alias("d"))
+    # b batches make b (b - 1) / 2 pairs
+    n = F.round((1.0 + F.sqrt(1.0 + 8.0 * F.count(F.lit(1)))) / 2.0).cast("bigint")
+    return pairs.groupBy(node, side).agg(n.alias("n_batches"), F.avg("d").alias("centroid_gap"))

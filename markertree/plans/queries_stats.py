@@ -521,7 +521,7 @@ def side_separation_audit(spark, sf):
 @query("batch_centroid_alignment", "EVL-6", """
 WITH e AS (SELECT CAST(vec_id % 3 AS INTEGER) AS batch, CAST(label // 2 AS INTEGER) AS node_id, CASE label % 2 WHEN 0 THEN 'L' ELSE 'R' END AS side, unnest(range(1, 65)) AS dim, unnest(embedding) AS v FROM embeddings),
 c AS (SELECT node_id, side, batch, dim, avg(CAST(v AS DOUBLE)) AS c FROM e GROUP BY ALL),
-p AS (SELECT a.node_id, a.side, a.batch AS b1, b.batch AS b2, sum((a.c - b.c) ** 2) AS d FROM c a JOIN c b ON a.node_id = b.node_id AND a.side = b.side AND a.dim = b.dim AND a.batch < b.batch GROUP BY ALL)
+p AS (SELECT a.node_id, a.side, a.batch AS b1, b.batch AS b2, sqrt(sum((a.c - b.c) ** 2)) AS d FROM c a JOIN c b ON a.node_id = b.node_id AND a.side = b.side AND a.dim = b.dim AND a.batch < b.batch GROUP BY ALL)
 SELECT node_id, side, (SELECT count(DISTINCT batch) FROM c WHERE c.node_id = p.node_id AND c.side = p.side) AS n_batches, round(avg(d), 6) AS centroid_gap FROM p GROUP BY node_id, side""")
 def batch_centroid_alignment(spark, sf):
     e = embedding_dims(spark, sf).select(

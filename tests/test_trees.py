@@ -127,3 +127,11 @@ def test_splice_moves_the_sibling_up():
     # root 0 with children 1, 2; 2 has children 5, 6; removing 5 puts 6 in the place of 2
     new = T.remap_after_removal([0, 1, 2, 5, 6, 13, 14], [5])
     assert new == {0: 0, 1: 1, 2: None, 5: None, 6: 2, 13: 5, 14: 6}
+
+
+def test_resumed_weights_are_shares_of_the_root(cells):
+    first = grow(cells, MARKERS, "marker", max_depth=1)
+    first.nodes["R"].status = "open"
+    again = grow(cells, MARKERS, "marker", tree=first, max_depth=1)
+    assert again.nodes["R"].weight == pytest.approx(again.nodes["R"].n / again.nodes[""].n)
+    assert again.nodes["R"].weight < 1
