@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markertree.operators import knots as K
@@ -35,17 +35,43 @@ class GaussianModel:
         return -2 * self.n * self.mean_ll + K.parameters(self.k, self.means.shape[1], self.diagonal) * np.log(self.n)
 
 
-def _start_points(df: DataFrame, markers: list[str], size: int = 4096) -> np.ndarray:
-    """A fixed hash-ordered handful of rows, only to place the first centres."""
-    key = F.xxhash64(*markers)
-    rows = df.select(*markers, key.alias("_h")).orderBy("_h").limit(size).collect()
-    return np.array([[float(r[m]) for m in markers] for r in rows])
+START_CELLS = 4096
+GRID_MARKERS = 12
+GRID_BINS = 256
 
 
-def _start_models(points: np.ndarray, ks: list[int], diagonal: bool) -> list[GaussianModel]:
-    n = np.ones(len(points))
-    scatter = np.zeros((len(points), points.shape[1], points.shape[1]))
-    scale = points.std(axis=0)
+def _start_cells(df: DataFrame, markers: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, mean and covariance of at most ``START_CELLS`` grid cells that hold all rows, to place the first centres.
+
+    The grid cuts the first ``GRID_MARKERS`` markers into at most ``GRID_BINS`` bins at equal shares of their rows; every row counts, so a value of many
+    rows has its weight.
+    """
+    gridded = markers[:GRID_MARKERS]
+    bins = max(2, min(GRID_BINS, int(START_CELLS ** (1 / len(gridded)) + 1e-9)))
+    shares = [i / bins for i in range(1, bins)]
+    cuts = df.agg(*[F.percentile_approx(F.col(m).cast("double"), shares, 10_000).alias(f"q{i}") for i, m in enumerate(gridded)]).first()
+
+    def passed(marker: str, values: list[float]) -> Column:
+        return F.size(F.filter(F.lit(sorted(set(values))).cast("array<double>"), lambda c: F.col(marker) > c))
+
+    above = [passed(m, cuts[f"q{i}"] or []).alias(f"_g{i}") for i, m in enumerate(gridded)]
+    placed = df.select(*[F.col(m).cast("double").alias(m) for m in markers]).select(*markers, *above)
+    pairs = [(i, j) for i in range(len(markers)) for j in range(i, len(markers))]
+    cells = bounded_rows(placed.groupBy(*[f"_g{i}" for i in range(len(gridded))]).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"m{i}") for i, m in enumerate(markers)],
+        *[F.covar_pop(markers[i], markers[j]).alias(f"c{i}_{j}") for i, j in pairs]), START_CELLS)
+    cells.sort(key=lambda r: [r[f"_g{i}"] for i in range(len(gridded))])
+    n = np.array([r["n"] for r in cells], dtype=float)
+    means = np.array([[r[f"m{i}"] for i in range(len(markers))] for r in cells], dtype=float)
+    covs = np.zeros((len(cells), len(markers), len(markers)))
+    for i, j in pairs:
+        covs[:, i, j] = covs[:, j, i] = [r[f"c{i}_{j}"] for r in cells]
+    return n, means, covs
+
+
+def _start_models(n: np.ndarray, points: np.ndarray, scatter: np.ndarray, ks: list[int], diagonal: bool) -> list[GaussianModel]:
+    centred = points - n @ points / n.sum()
+    scale = np.sqrt((n @ (centred * centred) + n @ np.diagonal(scatter, axis1=1, axis2=2)) / n.sum())
     scale[scale == 0] = 1.0
     models = []
     for k in ks:
@@ -97,12 +123,12 @@ def fit_models(df: DataFrame, markers: list[str], ks: list[int], diagonal: bool
                max_iter: int = 100, trace: list | None = None) -> list[GaussianModel]:
     """Fit one mixture per k; all unfinished models share each pass.
 
-    Values are centred on the start points before summing, which keeps second moments well conditioned.
+    Values are centred on their mean before summing, which keeps second moments well conditioned.
     """
-    points = _start_points(df, markers)
-    centre = points.mean(axis=0)
+    n_start, points, scatter = _start_cells(df, markers)
+    centre = n_start @ points / n_start.sum()
     shifted = materialize(df.select(*[(F.col(m).cast("double") - F.lit(float(c))).alias(m) for m, c in zip(markers, centre)]))
-    models = _start_models(points - centre, ks, diagonal)
+    models = _start_models(n_start, points - centre, scatter, ks, diagonal)
     live = list(range(len(models)))
     for _ in range(max_iter):
         if not live:

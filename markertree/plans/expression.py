@@ -219,7 +219,7 @@ def _fences(level: DataFrame, names: list[str], factor: float, max_drop: int, mi
 
 
 def grow_expression(rows: DataFrame, features: list[str], embed: Embedder | None = None, profile: Profile | str = "component",
-                    min_cells: int = 100, max_depth: int = 12, outlier_factor: float | None = 4.0, max_drop: int = 30,
+                    min_cells: int = 100, max_depth: int | None = None, outlier_factor: float | None = 4.0, max_drop: int = 30,
                     confident: bool = True) -> ExpressionTree:
     """Grow a tree on packed expression rows (``idx``, ``val`` over ``features``).
 
@@ -243,8 +243,10 @@ def grow_expression(rows: DataFrame, features: list[str], embed: Embedder | None
             node, g = out.tree.nodes[path], grams.get(path)
             node.n = g.n if g else 0
             node.weight = node.n / max(total, 1)
-            if node.n < max(min_cells, p.min_cells) or len(path) >= max_depth:
-                node.close("small size" if len(path) < max_depth else "depth")
+            if max_depth is not None and len(path) >= max_depth:
+                node.close("depth")
+            elif node.n < max(min_cells, p.min_cells):
+                node.close("small size")
             else:
                 live.append(path)
                 out.embeddings[path] = embed(g)

@@ -366,19 +366,49 @@ def embedding_covariance(spark, sf):
     return rounded(spark.createDataFrame(rows, "i int, j int, cov double"), "cov")
 
 
-@query("pca_scores", "DIM-1 DIM-2 PRJ-3")
+def eigen_sql(k: int, squarings: int = 24) -> str:
+    """CTEs b1..bk: value and unit vector of the k largest components of the matrix in c1, by matrix squaring and deflation."""
+    parts = []
+    for i in range(1, k + 1):
+        parts.append(f"""
+p{i} AS (
+  SELECT 0 AS step, [[x / trace for x in r] for r in m] AS m FROM (SELECT m, list_sum([m[a][a] for a in range(1, 65)]) AS trace FROM c{i})
+  UNION ALL
+  SELECT step + 1, [[x / trace for x in r] for r in m] FROM (
+    SELECT step, m, list_sum([m[a][a] for a in range(1, 65)]) AS trace FROM (
+      SELECT step, [[list_dot_product(r, s) for s in m] for r in m] AS m FROM p{i} WHERE step < {squarings}))),
+v{i} AS MATERIALIZED (
+  SELECT [x / sqrt(list_dot_product(r, r)) * sign(r[list_position([abs(y) for y in r], list_max([abs(y) for y in r]))]) for x in r] AS v
+  FROM (SELECT m[list_position([m[a][a] for a in range(1, 65)], list_max([m[a][a] for a in range(1, 65)]))] AS r FROM p{i} WHERE step = {squarings})),
+b{i} AS MATERIALIZED (SELECT v, list_dot_product(v, [list_dot_product(r, v) for r in m]) AS value FROM v{i}, c{i}),
+c{i + 1} AS MATERIALIZED (SELECT [[m[a][b] - value * v[a] * v[b] for b in range(1, 65)] for a in range(1, 65)] AS m FROM c{i}, b{i})""")
+    return ",".join(parts)
+
+
+PCA_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS x FROM embeddings),
+ij AS (SELECT i, j FROM range(1, 65) a(i), range(1, 65) b(j)),
+cij AS (SELECT i, j, covar_samp(x[i], x[j]) AS c FROM e, ij GROUP BY ALL),
+c1 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cij GROUP BY i)),{eigen_sql(5)}"""
+
+
+@query("pca_scores", "DIM-1 DIM-2 PRJ-3", f"""{PCA_SQL},
+mean AS MATERIALIZED (SELECT list(c ORDER BY i) AS mean FROM (SELECT i, avg(x[i]) AS c FROM e, range(1, 65) a(i) GROUP BY i))
+SELECT vec_id, {", ".join(f"round(list_dot_product(x, b{i}.v) - list_dot_product(mean, b{i}.v), 6) + 0.0 AS PC{i - 1}" for i in range(1, 6))}
+FROM e, mean, {", ".join(f"b{i}" for i in range(1, 6))}""")
 def pca_scores(spark, sf):
     e = embedding_dims(spark, sf)
     model = L.pca(e, 5, 64)
-    return L.apply_map(e, model.matrix, model.offset).select("vec_id", *[F.element_at("scores", i + 1).alias(f"PC{i}") for i in range(5)])
+    scores = L.apply_map(e, model.matrix, model.offset).select("vec_id", *[F.element_at("scores", i + 1).alias(f"PC{i}") for i in range(5)])
+    return rounded(scores, *[f"PC{i}" for i in range(5)])
 
 
-@query("component_variances", "DIM-3 WIN-6")
+@query("component_variances", "DIM-3 WIN-6", f"""{PCA_SQL}
+{" UNION ALL ".join(f"SELECT {i - 1} AS pc, round(value, 6) + 0.0 AS variance FROM b{i}" for i in range(1, 6))}""")
 def component_variances(spark, sf):
     e = embedding_dims(spark, sf)
     model = L.pca(e, 5, 64)
     rows = [(i, float(v)) for i, v in enumerate(model.values)]
-    return spark.createDataFrame(rows, "pc int, variance double")
+    return rounded(spark.createDataFrame(rows, "pc int, variance double"), "variance")
 
 
 @query("discriminant_scores", "DIM-6")
@@ -399,10 +429,10 @@ def pls_marker_weights(spark, sf):
 PLS_SQL = f"""{TOKENS_SQL}, y AS (SELECT CAST(doc_id AS VARCHAR) AS cell_id, ln(1 + n_chars) AS y FROM documents),
 k AS (SELECT count(*) AS n, avg(y) AS my, stddev_pop(y) AS sy FROM y),
 s AS (SELECT feature, sum(value) AS s, sum(value * value) AS ss, sum(value * y) AS sxy FROM tokens JOIN y USING (cell_id) GROUP BY feature),
-c AS (SELECT feature, CASE WHEN ss / n - (s / n) ** 2 > 0 THEN (sxy / n - s / n * my) / (sqrt(ss / n - (s / n) ** 2) * sy) ELSE 0 END AS c FROM s, k)"""
+c AS MATERIALIZED (SELECT feature, CASE WHEN ss / n - (s / n) ** 2 > 0 THEN (sxy / n - s / n * my) / (sqrt(ss / n - (s / n) ** 2) * sy) ELSE 0 END AS c FROM s, k)"""
 
 
-@query("pls_token_weights", "CCA-6 JOI-5", f"WITH {PLS_SQL} SELECT feature, round(c / (SELECT sqrt(sum(c * c)) FROM c), 6) + 0.0 AS w FROM c")
+@query("pls_token_weights", "CCA-6 JOI-5", f"WITH {PLS_SQL}, norm AS MATERIALIZED (SELECT sqrt(sum(c * c)) AS len FROM c) SELECT feature, round(c / len, 6) + 0.0 AS w FROM c, norm")
 def pls_token_weights(spark, sf):
     target = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("cell_id"), F.log1p("n_chars").alias("y"))
     return rounded(L.pls_weights_sparse(token_counts(spark, sf).drop("batch"), target), "w")

@@ -62,6 +62,6 @@ EVENTS_SQL = """counts AS (
 TOKENS_SQL = """words AS (
   SELECT source AS batch, CAST(doc_id AS VARCHAR) AS cell_id,
          unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS feature FROM documents),
-tokens AS (
+tokens AS MATERIALIZED (
   SELECT batch, cell_id, feature, CAST(count(*) AS DOUBLE) AS value
   FROM words WHERE feature <> '' GROUP BY ALL)"""

@@ -106,6 +106,16 @@ def test_full_table_em_finds_planted_components(spark):
         assert all(b >= a - 1e-6 for a, b in zip(ll, ll[1:]))
 
 
+def test_full_table_em_starts_from_all_rows(spark):
+    """A third of all rows share one value: it gets a component of its own, whatever its hash."""
+    for hot in (-4.0, 3.25, 11.0):
+        df = spark.range(0, 6000, 1, 4).select(F.when(F.col("id") % 3 == 0, hot).otherwise(hashed_normal(5, "id") + hot + 6).alias("p"))
+        n, means, _ = EM._start_cells(df, ["p"])
+        assert n.sum() == 6000 and n[np.abs(means[:, 0] - hot).argmin()] >= 2000
+        two = EM.fit_models(df, ["p"], [2], max_iter=40)[0]
+        assert np.allclose(np.sort(two.means[:, 0]), [hot, hot + 6], atol=0.15)
+
+
 def test_dirichlet_mixture_separates_count_profiles(spark):
     kind = F.col("id") % 3 == 0
     count = lambda j, a, b: F.round(F.when(kind, a).otherwise(b) + hashed_normal(j, "id") * 1.5).cast("double")
