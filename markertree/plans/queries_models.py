@@ -27,7 +27,7 @@ from markertree.session import materialize
 from markertree.sources import writers as W
 from markertree.sources.schema import NODES
 from markertree.sources.tables import (
-    DOC_MARKERS, document_expression, document_markers, embedding_dims, line_cells, line_long, packed_documents, table, token_counts,
+    DOC_MARKERS, MARKERS, document_expression, document_markers, embedding_dims, line_cells, line_long, packed_documents, table, token_counts,
 )
 from markertree.streaming import scorer
 
@@ -79,10 +79,10 @@ def marker_components(spark, sf):
 def full_table_mixtures(spark, sf):
     """BIC search with full and diagonal covariance over all order lines."""
     cells = log_transform(line_long(spark, sf))
-    wide = cells.groupBy("batch", "cell_id").pivot("feature", ["price", "qty"]).agg(F.first("value"))
+    wide = cells.groupBy("batch", "cell_id").pivot("feature", MARKERS).agg(F.first("value"))
     rows = []
     for kind in (False, True):
-        for m in EM.fit_models(wide, ["price", "qty"], [1, 2, 3, 4], kind, max_iter=15):
+        for m in EM.fit_models(wide, MARKERS, [1, 2, 3, 4], kind, max_iter=15):
             rows.append(("diag" if kind else "full", m.k, m.n, float(m.mean_ll), float(m.bic())))
     return spark.createDataFrame(rows, "covariance string, k int, n bigint, ll double, bic double")
 
@@ -164,11 +164,11 @@ def metagene_split_cells(spark, sf):
 
 
 @query("metagene_totals", "DIM-5", f"""
-WITH {TOKENS_SQL}, m AS (SELECT DISTINCT feature, substring(feature, 1, 1) AS metagene FROM tokens WHERE feature < 'f' AND feature >= 'a')
+WITH {TOKENS_SQL}, m AS (SELECT DISTINCT feature, substring(feature, 1, 1) AS metagene FROM tokens)
 SELECT cell_id, metagene, sum(value) AS value FROM tokens JOIN m USING (feature) GROUP BY ALL""")
 def metagene_totals(spark, sf):
     t = token_counts(spark, sf)
-    genes = t.select("feature").distinct().filter("feature < 'f' and feature >= 'a'").withColumn("metagene", F.substring("feature", 1, 1))
+    genes = t.select("feature").distinct().withColumn("metagene", F.substring("feature", 1, 1))
     return MG.metagene_counts(t, genes)
 
 
@@ -507,10 +507,10 @@ def missing_view_alignment(spark, sf):
 
 
 @query("view_activity", "AGG-13", """
-WITH t AS (SELECT event_type AS view, user_id AS "row", sum(value) AS s FROM events WHERE day(ts) % 7 = 0 GROUP BY ALL), a AS (SELECT view, "row", CAST(s <> 0 AS INTEGER) AS active FROM t)
+WITH t AS (SELECT event_type AS view, user_id AS "row", sum(value) AS s FROM events GROUP BY ALL), a AS (SELECT view, "row", CAST(s <> 0 AS INTEGER) AS active FROM t)
 SELECT view, "row", active, CAST(sum(active) OVER (PARTITION BY "row") - active AS BIGINT) AS n_other FROM a""")
 def view_activity(spark, sf):
-    t = table(spark, sf, "events").filter(F.dayofmonth("ts") % 7 == 0).select(F.col("event_type").alias("view"), F.col("user_id").alias("row"), "value")
+    t = table(spark, sf, "events").select(F.col("event_type").alias("view"), F.col("user_id").alias("row"), "value")
     return L.view_activity(t)
 
 
@@ -546,12 +546,12 @@ def tree_edge_report(spark, sf):
 
 
 @query("subset_background_density", "VIS-6", f"""
-WITH {LINE_SQL}, x AS (SELECT cell_id, batch, 'qty' AS feature, qty AS value FROM cells UNION ALL SELECT cell_id, batch, 'price', price FROM cells),
+WITH {LINE_SQL}, x AS ({" UNION ALL ".join(f"SELECT cell_id, batch, '{m}' AS feature, {m} AS value FROM cells" for m in MARKERS)}),
 lim AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM x GROUP BY feature), roles AS (SELECT feature, value, 'all' AS role FROM x UNION ALL SELECT feature, value, 'subset' FROM x WHERE batch = 'A'),
 b AS (SELECT role, feature, CAST(least(floor((value - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin, (hi - lo) / 50 AS w FROM roles JOIN lim USING (feature)), c AS (SELECT role, feature, bin, count(*) AS n, max(w) AS w FROM b GROUP BY ALL)
 SELECT role, feature, bin, n, round(n / sum(n) OVER (PARTITION BY role, feature) / w, 9) AS density FROM c""")
 def subset_background_density(spark, sf):
-    long = line_long(spark, sf).filter("feature in ('qty', 'price')").select("cell_id", "feature", "value")
+    long = line_long(spark, sf).select("cell_id", "feature", "value")
     members = line_cells(spark, sf).filter("batch = 'A'").select("cell_id")
     return rounded(RP.subset_against_background(long, members), "density", digits=9)
 

@@ -121,16 +121,15 @@ def raw_count_detector(spark, sf):
     return R.looks_raw(line_long(spark, sf), ["batch", "feature"])
 
 
-@query("weight_matrix_feature_by_node", "SNK-3 SNK-4", """
-SELECT event_type AS feature, coalesce(avg(value) FILTER (isodow(ts) = 1), 0) AS "1",
-  coalesce(avg(value) FILTER (isodow(ts) = 2), 0) AS "2" FROM events WHERE isodow(ts) <= 2 GROUP BY event_type""".replace(
-    "coalesce(avg", "round(coalesce(avg").replace(", 0) AS", ", 0), 6) AS"))
+@query("weight_matrix_feature_by_node", "SNK-3", f"""
+SELECT event_type AS feature, {", ".join(f'round(coalesce(avg(value) FILTER (isodow(ts) = {d}), 0), 6) AS "{d}"' for d in range(1, 8))}
+FROM events GROUP BY event_type""")
 def weight_matrix_feature_by_node(spark, sf):
     weights = table(spark, sf, "events").select(
         F.col("event_type").alias("feature"), (F.weekday("ts") + 1).alias("node_id"), "value"
-    ).filter("node_id <= 2").groupBy("feature", "node_id").agg(r(F.avg("value")).alias("w"))
+    ).groupBy("feature", "node_id").agg(r(F.avg("value")).alias("w"))
     path = scratch(spark, "weights")
-    W.write_table(W.weight_matrix(weights, [1, 2]), path)
+    W.write_table(W.weight_matrix(weights, list(range(1, 8))), path)
     return spark.read.parquet(path)
 
 
