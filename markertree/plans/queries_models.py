@@ -21,7 +21,7 @@ from markertree.plans import postpass as PP
 from markertree.plans.consensus import grow_consensus, leaf_table, pack_expression
 from markertree.plans.grow import grow, reopen
 from markertree.plans.queries_tables import NODE_WEIGHTS_SQL, event_weights, scratch
-from markertree.plans.registry import LINE_SQL, TOKENS_SQL, query, r, rounded
+from markertree.plans.registry import LINE_SQL, ORACLES, TOKENS_SQL, query, r, rounded
 from markertree.plans.tree import Tree
 from markertree.session import materialize
 from markertree.sources import writers as W
@@ -332,6 +332,14 @@ def identity_space(spark, sf):
     return rounded(PP.identity_space(event_counts(spark, sf), event_weights(spark, sf)), "h")
 
 
+@query("projection_table_export", "SNK-4", ORACLES["identity_space"])
+def projection_table_export(spark, sf):
+    """The projection of every cell at every node, written and read back."""
+    path = scratch(spark, "projections")
+    W.write_table(identity_space(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 @query("batch_node_projections", "XDS-19", """
 WITH c AS (SELECT event_type AS feature, CAST(user_id AS VARCHAR) AS cell_id, user_id % 3 AS batch, count(*) AS value FROM events GROUP BY ALL),
 w AS (SELECT user_id % 3 AS batch, CAST(isodow(ts) AS BIGINT) AS node_id, event_type AS feature, avg(value) AS w FROM events GROUP BY ALL)

@@ -239,6 +239,17 @@ def leaf_labels_of_cells(spark, sf):
     return T.leaf_labels(assigned, nodes)
 
 
+@query("labels_at_chosen_nodes", "TRE-4", f"""
+WITH {LINE_SQL} SELECT cell_id, CASE WHEN qty > 25 AND tax > 0.04 THEN 'taxed' ELSE 'all' END AS label FROM cells""")
+def labels_at_chosen_nodes(spark, sf):
+    """Labels at a cut of the tree: the deepest of the named nodes that a cell reached."""
+    cells = line_cells(spark, sf)
+    reached = cells.select("cell_id", F.explode(F.filter(F.array(
+        F.lit(0), F.when(F.col("qty") > 25, 2).otherwise(1), F.when((F.col("qty") > 25) & (F.col("tax") > 0.04), 6)),
+        lambda n: n.isNotNull()).cast("array<bigint>")).alias("node_id"))
+    return T.labels_at(reached, spark.createDataFrame([(0, "all"), (6, "taxed")], "node_id bigint, name string"))
+
+
 @query("membership_matrix", "TRE-5", f"""
 WITH {LINE_SQL} SELECT cell_id, 1 AS "0", CAST(qty <= 25 AS INTEGER) AS "1", CAST(qty > 25 AS INTEGER) AS "2" FROM cells""")
 def membership_matrix(spark, sf):
@@ -336,7 +347,17 @@ def basis_and_artificial_types(spark, sf):
     return rounded(T.classify_leaf_types(eight_leaf_codes(spark, sf)[1]), "merge_constant")
 
 
-@query("multiplet_cells", "TRE-15 AGG-15")
+@query("multiplet_share", "AGG-15", f"""
+WITH {LINE_SQL} SELECT round(avg(CASE WHEN qty > 25 AND tax > 0.04 THEN 1 ELSE 0 END), 9) AS multiplet_ratio FROM cells""")
+def multiplet_share(spark, sf):
+    """Share of cells in artificial leaf types, the types given by their codes."""
+    leaves, _ = eight_leaf_codes(spark, sf)
+    types = leaves.select("leaf").distinct().withColumn(
+        "basis", F.when((F.substring("leaf", 1, 1) == "1") & (F.substring("leaf", 3, 1) == "1"), 0).otherwise(1))
+    return rounded(T.multiplet_ratio(T.flag_multiplets(leaves, types)), "multiplet_ratio", digits=9)
+
+
+@query("multiplet_cells", "TRE-15")
 def multiplet_cells(spark, sf):
     leaves, codes = eight_leaf_codes(spark, sf)
     return T.flag_multiplets(leaves, T.classify_leaf_types(codes)).select("cell_id", "leaf", "multiplet")

@@ -246,7 +246,7 @@ def anti_join_unassigned(spark, sf):
     return S.drop_members(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("shuffled_cells", "FLT-6")
+@query("shuffled_cells", "FLT-6", f"WITH {LINE_SQL} SELECT cell_id, batch FROM cells")
 def shuffled_cells(spark, sf):
     return S.hashed_order(line_cells(spark, sf).select("cell_id", "batch"), 7, "cell_id")
 

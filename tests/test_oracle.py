@@ -29,8 +29,8 @@ def test_entry_returns_rows(spark, sf):
 
 # cheap queries without SQL; the costly ones are covered on planted data in the other modules
 @pytest.mark.parametrize("name", [
-    "shuffled_cells", "smoothed_markers", "basis_and_artificial_types", "multiplet_cells", "dip_by_marker", "marker_scan",
-    "pca_scores", "two_view_correlations", "joint_projection", "multi_view_correlations", "bridged_view_correlations",
+    "smoothed_markers", "basis_and_artificial_types", "multiplet_cells", "dip_by_marker", "marker_scan",
+    "two_view_correlations", "joint_projection", "multi_view_correlations", "bridged_view_correlations",
     "hierarchical_view_scores", "missing_view_alignment", "mixture_split_of_projection",
 ])
 def test_query_without_sql_runs(spark, sf, name):
