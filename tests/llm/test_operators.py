@@ -223,3 +223,22 @@ def test_chat_paths_of_a_tree(spark):
         "loss", chat.read_loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
     found = sorted((r.conv_id, r.path, [t.text for t in r.turns], r.loss) for r in done)
     assert found == [(1, 1, ["a<&|", "<|end|>", ""], "<|end|>"), (1, 2, ["a<&|", "no"], "no"), (2, 1, ["lone"], "")]
+
+
+def random_words(r, n):
+    return ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+
+def test_passages_with_an_edited_word_are_all_found(spark):
+    r = random.Random(12)
+    rows = []
+    for n in range(50, 61):
+        for at in (n // 2, n // 2 - 3, n // 2 + 2, n // 3):
+            p = random_words(r, n)
+            rows.append((len(rows), random_words(r, 20) + p + random_words(r, 20)))
+            rows.append((len(rows), random_words(r, 30) + p[:at] + random_words(r, 1) + p[at + 1:] + random_words(r, 30)))
+    shingles = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for _, w in rows]
+    want = {(b, b - 1) for b in range(1, len(rows), 2) if len(shingles[b] & shingles[b - 1]) >= 41}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert len(want) == len(rows) // 2
+    assert {(x.doc_id, x.source_doc_id) for x in substring.duplicate_passages(docs).collect()} == want
