@@ -242,3 +242,22 @@ def test_passages_with_an_edited_word_are_all_found(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     assert len(want) == len(rows) // 2
     assert {(x.doc_id, x.source_doc_id) for x in substring.duplicate_passages(docs).collect()} == want
+
+
+def test_passages_that_repeat_a_later_document_are_found(spark):
+    r = random.Random(14)
+    rows, want = [], set()
+    for n in (50, 60, 80):
+        for _ in range(20):
+            p = random_words(r, n)
+            for step in range(4):
+                if step:
+                    k = step * n // 4
+                    p = p[:k] + random_words(r, 1) + p[k + 1:]
+                    want.add(len(rows))
+                rows.append((len(rows), random_words(r, 9) + p + random_words(r, 9)))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = substring.duplicate_passages(docs).collect()
+    shingles = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for _, w in rows]
+    assert all(len(shingles[x.doc_id] & shingles[x.source_doc_id]) >= 41 for x in found)
+    assert {x.doc_id for x in found} == want
