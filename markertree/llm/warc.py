@@ -211,8 +211,13 @@ class Reader(DataSourceReader):
         data = inflate.decompress(first[:length] if length else first, 1 << 16)
         got = at + len(first)
         while b"\r\n\r\n" not in data and not inflate.eof:
-            data += inflate.decompress(inflate.unconsumed_tail or f.read_at(1024, got), 1 << 16)
-            got = max(got, at + 1024)
+            piece = inflate.unconsumed_tail
+            if not piece:
+                piece = f.read_at(1 << 16, got)
+                got += len(piece)
+                if not piece:
+                    raise ValueError(f"the record at {at} breaks off")
+            data += inflate.decompress(piece, 1 << 16)
         head, _, rest = data.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
         digest = fields.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None

@@ -1,5 +1,6 @@
 """Each operator against a plain version, on small rows with nulls, empty and long texts, repeats and clashing columns."""
 
+import gzip
 import random
 import re
 import zlib
@@ -213,6 +214,19 @@ def test_warc_round_trip_and_pushed_filters(spark, tmp_path):
     assert warc.read_archives(spark, path).filter("record_type = 'response' and page_id > 3").count() == 2
 
 
+def test_warc_reads_long_headers(tmp_path):
+    r = random.Random(15)
+    raw = []
+    for n in (10_000, 200_000):
+        url = "http://a/" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        record = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nContent-Length: 7\r\n\r\n\r\n\r\nabc\r\n\r\n"
+        raw.append((url, gzip.compress(record.encode())))
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(x for _, x in raw))
+    reader = warc.Reader(f"file://{tmp_path}", True)
+    rows = [x for part in reader.partitions() for batch in reader.read(part) for x in batch.to_pylist()]
+    assert [(x["target_uri"], x["payload"]) for x in rows] == [(url, b"abc") for url, _ in raw]
+
+
 def test_chat_paths_of_a_tree(spark):
     rows = [(1, 1, None, "user", "a<&|"), (1, 2, 1, "assistant", "<|end|>"), (1, 3, 1, "assistant", "no"), (1, 4, 2, "user", None),
             (2, 1, 9, "user", "lone"), (3, 1, 2, "user", "cycle"), (3, 2, 1, "user", "cycle")]
