@@ -47,7 +47,7 @@ STAGES = [
 ]
 
 ORACLE_SQL = None
-"""The learned and the packed stages have no SQL; tests/llm compares run() with a plain version."""
+"""The learned and the packed stages have no SQL; tests/llm tests their operators, not yet run() as a whole."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,9 @@ def _fingerprint_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             prints = [fingerprint(shingle_hashes(t, width)) for t in batch.column("text").to_pylist()]
+            names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "bits"])
+                [*map(batch.column, names), pa.array(np.array(prints, np.uint64).view(np.int64))], [*names, "bits"])
     return run
 
 
@@ -237,7 +238,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFram
 
 
 def representatives(docs: DataFrame, width: int = 4, reach: int = 4) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates, that with the smallest doc_id; columns as they are."""
-    first = near_duplicates(docs, width, reach).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each group of near-duplicates, that with the smallest doc_id (null ids last); columns as they are.
+
+    Rows that share a doc_id, or have none, are told apart by their texts; of those in one group the text's hash decides.
+    """
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    rows = texts(docs).select("doc_id", digest.alias("_digest"), "text")
+    prints = materialize(rows.mapInArrow(_fingerprint_batches(width), "doc_id long, _digest string, bits long"))
+    roots = components(hamming_links(prints, reach))
+    head = prints.groupBy("bits").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_digest")).alias("f"))
+    first = head.join(roots, head.bits == roots.node, "left").groupBy(F.coalesce("root", "bits").alias("root")).agg(
+        F.min("f").alias("f")).select(F.col("f.doc_id").alias("_kept_id"), F.col("f._digest").alias("_kept_digest"))
+    return docs.withColumn("_digest", digest).join(
+        first, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi").dropDuplicates(
+        ["doc_id", "_digest"]).drop("_digest")

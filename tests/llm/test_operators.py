@@ -59,6 +59,18 @@ def test_simhash_equals_brute_force(docs):
     assert pairs == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.bitwise_count(own[:, None] ^ own[None, :]) <= 4))}
 
 
+def test_simhash_representatives_keep_null_and_repeated_ids(spark):
+    r = random.Random(16)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(7)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (4, texts[4]),
+            (None, texts[4]), (7, None), (7, texts[5]), (8, ""), (9, texts[6]), (9, texts[6])]
+    df = spark.createDataFrame([(i, t, "b") for i, t in rows], "doc_id long, text string, bits string")
+    found = simhash.representatives(df)
+    assert found.columns == df.columns
+    assert Counter((x.doc_id, x.text) for x in found.collect()) == Counter(
+        [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (4, texts[4]), (7, None), (7, texts[5]), (9, texts[6])])
+
+
 def test_simhash_shards_keep_links(spark):
     r = random.Random(2)
     values = [r.getrandbits(63) for _ in range(300)]
