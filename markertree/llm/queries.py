@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markertree.llm import bpe, chat, lm, packing, quality, simhash, substring, topk, toxicity, warc
+from markertree.llm import bpe, centroids, chat, lm, packing, quality, simhash, substring, topk, toxicity, warc
 from markertree.llm.common import fold, table
 from markertree.session import shared_folder
 
@@ -134,3 +134,11 @@ def op6_duplicate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_centroid_clusters"] = centroids.cluster_sql()
