@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markertree.llm import bpe, centroids, chat, lm, packing, quality, simhash, substring, topk, toxicity, warc
+from markertree.llm import bpe, centroids, chat, lexical, lm, packing, quality, simhash, substring, topk, toxicity, warc
 from markertree.llm.common import fold, table
 from markertree.session import shared_folder
 
@@ -142,3 +142,11 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_centroid_clusters"] = centroids.cluster_sql()
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_ranked_search"] = lexical.rank_sql()
