@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markertree.llm import bpe, centroids, chat, lexical, lm, packing, quality, simhash, substring, topk, toxicity, warc
+from markertree.llm import bpe, centroids, chat, extract, lexical, lm, packing, quality, simhash, substring, topk, toxicity, warc
 from markertree.llm.common import fold, table
 from markertree.session import shared_folder
 
@@ -150,3 +150,8 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_ranked_search"] = lexical.rank_sql()
+
+
+@query
+def op13_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages"))
