@@ -9,6 +9,7 @@ from markertree.operators import em as EM
 from markertree.operators import evaluate as E
 from markertree.operators import features as FE
 from markertree.operators import linear as L
+from markertree.operators import wide_views as WV
 from markertree.operators import metagenes as MG
 from markertree.operators import moments as M
 from markertree.operators import report as RP
@@ -514,6 +515,34 @@ def missing_view_alignment(spark, sf):
     return spark.createDataFrame([(i, j, v) for i, j, v in m.pair_correlations], "view_a int, view_b int, correlation double")
 
 
+@query("wide_view_alignment", "CCA-5 AGG-12", """
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS n, generate_subscripts(w, 1) - 1 AS place FROM d WHERE len(w) > 0),
+v AS (SELECT DISTINCT doc_id, place * 3 // n AS view FROM t),
+p AS (SELECT a.view AS x, b.view AS y, count(*) AS n_rows FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.view < b.view GROUP BY ALL)
+SELECT x AS view_a, y AS view_b, CAST(c AS INTEGER) AS component, n_rows, TRUE AS agrees, TRUE AS unit_scale
+FROM p, range(3) r(c)""")
+def wide_view_alignment(spark, sf):
+    """Thirds of a text as views, every token a feature; correlations and scale recomputed from the emitted scores."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    tokens = table(spark, sf, "documents").select("doc_id", words.alias("w")).select(
+        F.col("doc_id").alias("row"), F.size("w").alias("n"), F.posexplode("w").alias("at", "feature"))
+    third = F.floor(F.col("at") * 3 / F.col("n")).cast("int")
+    long = tokens.groupBy(third.alias("view"), "row", "feature").agg(F.log1p(F.count("*")).alias("value"))
+    found = WV.align_wide_views(long, [0, 1, 2], 3, rounds=6, reg=1.0)
+    scores = found.scores.select("row", "view", F.posexplode("scores").alias("component", "s"))
+    a, b = (scores.select("row", "component", F.col("view").alias(f"view_{n}"), F.col("s").alias(n)) for n in "ab")
+    pairs = a.join(b, ["row", "component"]).filter("view_a < view_b").groupBy("view_a", "view_b", "component").agg(
+        F.count("*").alias("n_rows"), (F.sum(F.col("a") * F.col("b")) / F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("b") ** 2))).alias("again"))
+    model = spark.createDataFrame(found.correlations, "view_a int, view_b int, component int, c double")
+    # q' (N + ridge) q = 1: the scores' own part of the scale lies in (0, 1]
+    scale = scores.groupBy("component", "view").agg(F.sum(F.col("s") ** 2).alias("ss")).groupBy("component").agg(F.max("ss").alias("top"))
+    return pairs.join(model, ["view_a", "view_b", "component"]).join(scale, "component").select(
+        "view_a", "view_b", "component", "n_rows", (F.abs(F.col("c") - F.col("again")) < 1e-6).alias("agrees"),
+        ((F.col("top") > 0) & (F.col("top") <= 1 + 1e-6)).alias("unit_scale"))
+
+
 @query("view_activity", "AGG-13", """
 WITH t AS (SELECT event_type AS view, user_id AS "row", sum(value) AS s FROM events GROUP BY ALL), a AS (SELECT view, "row", CAST(s <> 0 AS INTEGER) AS active FROM t)
 SELECT view, "row", active, CAST(sum(active) OVER (PARTITION BY "row") - active AS BIGINT) AS n_other FROM a""")
