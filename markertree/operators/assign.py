@@ -198,12 +198,12 @@ def single_gaussian_scores(df: DataFrame, by: list[str], markers: list[str], rid
     return m.withColumn("ll", ll).withColumn("bic", gmm_bic("ll", "n", F.lit(1.0), F.lit(float(len(markers)))))
 
 
-def projection_overlap(h: DataFrame, side: str, n_large: int = 10_000) -> DataFrame:
-    """Overlap e^(-D) of the two sides of a 1-D score against a size-dependent bar, plus spread ratios."""
+def projection_overlap(h: DataFrame, side: str, n_large: int = 10_000, by: list[str] = ()) -> DataFrame:
+    """Overlap e^(-D) of the two sides of a 1-D score against a size-dependent bar, plus spread ratios; per group ``by``."""
     from markertree.functions.stats import bhattacharyya
 
     s = lambda fn, k: fn(F.when(F.col(side) == k, F.col("h")))
-    stats = h.filter(F.col(side).isin("L", "R")).agg(
+    stats = h.filter(F.col(side).isin("L", "R")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         s(F.avg, "L").alias("m0"), s(F.avg, "R").alias("m1"),
         s(F.var_samp, "L").alias("v0"), s(F.var_samp, "R").alias("v1"),
@@ -211,7 +211,7 @@ def projection_overlap(h: DataFrame, side: str, n_large: int = 10_000) -> DataFr
     square = lambda c: F.col(c) * F.col(c)
     bar = F.when(F.col("n") > n_large, 0.02).otherwise(0.05 * (2.0 - F.col("n") / 10_000.0))
     return stats.select(
-        "n", "m0", "m1",
+        *by, "n", "m0", "m1",
         F.exp(-bhattacharyya("m0", "v0", "m1", "v1")).alias("overlap"), bar.alias("bar"),
         (F.col("v0") / square("m0") + F.col("v1") / square("m1")).alias("within"),
         ((F.col("m1") - F.col("m0")) * (F.col("m1") - F.col("m0")) / ((square("m0") + square("m1")) / 2.0)).alias("between"),

@@ -21,7 +21,7 @@ from markertree.operators.profiles import PROFILES, Profile
 from markertree.operators.quantiles import exact_quantiles
 from markertree.operators.scan import group_limits, pair_candidates, scan_markers, scan_pairs
 from markertree.plans.tree import Tree, rule_from_record
-from markertree.session import bounded_rows, materialize
+from markertree.session import bounded_rows, discard, materialize
 
 
 @dataclass
@@ -426,30 +426,47 @@ def split_by_metagenes(long_counts: DataFrame, cells: DataFrame, rows: DataFrame
 def expression_veto(long: DataFrame, genes_per_side: int | None = None, large: int = 10_000):
     """A ``veto`` for ``grow``: a candidate split stands only if a discriminant on expression separates its sides.
 
-    Per proposal: differential genes of the two sides, a linear discriminant on them, and the overlap of its two score
-    distributions against a size-dependent bar. Cells are matched by ``cell_id``.
+    For all proposals of a level together: differential genes of the two sides, a linear discriminant on them, and the overlap of
+    its two score distributions against a size-dependent bar. Cells are matched by ``cell_id``.
     """
+    from markertree.operators import local_gram as G
     from markertree.operators.assign import projection_overlap
-    from markertree.operators.features import ranked_features, welch_scores
     from markertree.plans.tree import side_column
 
+    def solve(node, raw, sums):
+        within, n = G.within_scatter(raw, sums)
+        mean = {p: s / max(m, 1) for p, (m, s) in sums.items()}
+        level = max(np.trace(within) / max(n - 2, 1) / len(within), 1e-12)
+        w = np.linalg.solve(within / max(n - 2, 1) + 1e-9 * level * np.eye(len(within)), mean["R"] - mean["L"])
+        w = w / max(np.linalg.norm(w), 1e-300)
+        return pd.DataFrame([(node, w, float(sum(s for _, s in sums.values()) @ w / n))], columns=["node", "w", "centre"])
+
     def veto(proposals: list, placed: DataFrame) -> set[int]:
-        accepted = set()
-        for i, (path, _, rule) in enumerate(proposals):
-            node = placed.filter(F.col("path") == path)
-            groups = node.select("cell_id", side_column(rule).alias("group")).filter(F.col("group").isNotNull())
-            sizes = {r["group"]: r["n"] for r in bounded_rows(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")))}
-            n = sum(sizes.values())
-            if len(sizes) < 2:
-                continue
-            top = genes_per_side or (200 if 500 < n < 5000 else 1000)
-            genes = L.feature_index(ranked_features(welch_scores(long, groups), top).select("feature"))
-            rows = materialize(L.pack_rows(long, groups, genes))
-            model = L.discriminant(rows, "group", len(genes), array=None, idx="idx", val="val")
-            h = L.apply_map(rows, model.matrix, model.offset, None, "idx", "val").select(
-                F.element_at("scores", 1).alias("h"), F.col("group").alias("side"))
-            if projection_overlap(h, "side", large).first()["separable"]:
-                accepted.add(i)
-        return accepted
+        spark = placed.sparkSession
+        side = F.coalesce(*[F.when(F.col("path") == path, side_column(rule)) for path, _, rule in proposals])
+        groups = materialize(placed.filter(F.col("path").isin([path for path, _, _ in proposals])).select(
+            F.col("path").alias("node"), F.col("cell_id").alias("cell"), side.alias("side")).filter(F.col("side").isNotNull()))
+        sizes: dict[str, dict[str, int]] = {}
+        for r in bounded_rows(groups.groupBy("node", "side").agg(F.count(F.lit(1)).alias("n"))):
+            sizes.setdefault(r["node"], {})[r["side"]] = r["n"]
+        sizes = {node: n for node, n in sizes.items() if len(n) == 2 and min(n.values()) > 1}
+        if not sizes:
+            return set()
+        rows = [(node, n["L"], n["R"], genes_per_side or (200 if 500 < n["L"] + n["R"] < 5000 else 1000)) for node, n in sorted(sizes.items())]
+        table = spark.createDataFrame(rows, "node string, nl bigint, nr bigint, top int")
+        cells = groups.join(table.select("node"), "node")
+        entries = materialize(
+            long.select(F.col("cell_id").alias("cell"), F.col("feature").alias("i"), F.col("value").alias("v")).join(cells, "cell"))
+        index = G.node_features(G.side_features(G.side_sums(entries, ["node"]), table, ["node"]))
+        solved = materialize(G.solve_nodes(
+            entries.withColumnRenamed("side", "part").select("node", "part", "cell", "i", "v"), index, sizes, solve,
+            "node string, w array<double>, centre double"))
+        scored = entries.join(G.node_weights(solved, index), ["node", "i"]).groupBy("node", "cell").agg(F.sum(F.col("v") * F.col("w")).alias("_h"))
+        h = cells.join(scored, ["node", "cell"], "left").join(solved.select("node", "centre"), "node").select(
+            "node", "side", (F.coalesce("_h", F.lit(0.0)) - F.col("centre")).alias("h"))
+        passed = {r["node"] for r in projection_overlap(h, "side", large, ["node"]).filter("separable").select("node").collect()}
+        discard(entries)
+        discard(groups)
+        return {i for i, (path, _, _) in enumerate(proposals) if path in passed}
 
     return veto

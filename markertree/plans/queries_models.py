@@ -134,9 +134,9 @@ def resumed_tree_nodes(spark, sf):
 @query("vetoed_tree_nodes", "SPL-14 MIX-21 DIM-6")
 def vetoed_tree_nodes(spark, sf):
     cells = document_markers(spark, sf).select("cell_id", *DOC_MARKERS)
-    long = document_expression(spark, sf).select("cell_id", "feature", "value")
-    veto = X.expression_veto(long, genes_per_side=50)
-    return grow(cells, DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30), veto=veto, max_depth=2, store=True).to_frame(spark)
+    long = materialize(document_expression(spark, sf).select("cell_id", "feature", "value"))
+    veto = X.expression_veto(long)
+    return grow(cells, DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30), veto=veto, store=True).to_frame(spark)
 
 
 @query("expression_tree_nodes", "SPL-7 SPL-11 QC-6")
@@ -248,7 +248,7 @@ def document_consensus(spark, sf):
         (F.when(F.col("batch") != "b2", F.col(c)) if c in lacking else F.col(c)).alias(c) for c in DOC_MARKERS])
     long = materialize(document_expression(spark, sf))
     p = PROFILES["consensus"].with_options(spread_guard=False, unique_per_cells=1e9, unique_cap=10)
-    tree = grow_consensus(panel, DOC_MARKERS, long, p, child_cutoff=0.1, max_depth=3, genes_per_side=60)
+    tree = grow_consensus(panel, DOC_MARKERS, long, p, child_cutoff=0.1)
     return panel, long, tree
 
 
