@@ -22,6 +22,7 @@ from markertree.plans import postpass as PP
 from markertree.plans.consensus import grow_consensus, leaf_table, pack_expression
 from markertree.plans.grow import grow, reopen
 from markertree.plans.queries_tables import NODE_WEIGHTS_SQL, event_weights, scratch
+from markertree.plans.refresh import grow_refreshed
 from markertree.plans.registry import LINE_SQL, ORACLES, TOKENS_SQL, query, r, rounded
 from markertree.plans.tree import Tree
 from markertree.session import materialize
@@ -119,6 +120,30 @@ def reassigned_tree_nodes(spark, sf):
     return grow(cells, DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30), reassign=True, store=True).to_frame(spark)
 
 
+@query("refreshed_leaf_statistics", "SPL-10 MIX-14", """
+SELECT count(*) AS cells, TRUE AS counts_agree, TRUE AS means_agree, TRUE AS covariances_agree FROM documents""")
+def refreshed_leaf_statistics(spark, sf):
+    """Leaf statistics carried through all relabellings against a recomputation from the final labels."""
+    cells = document_markers(spark, sf).select("cell_id", *DOC_MARKERS)
+    out = grow_refreshed(cells, DOC_MARKERS, PROFILES["marker"].with_options(min_cells=100, min_side=30))
+    names = [f"m_{m}" for m in DOC_MARKERS]
+    carried = spark.createDataFrame(
+        [(p, s.n, *[float(v) for v in s.mean(out.centre)], float(np.trace(s.cov()))) for p, s in out.sums.items() if s.n > 1],
+        "path string, n bigint, " + ", ".join(f"{m} double" for m in names) + ", spread double")
+    again = out.cells.groupBy("path").agg(
+        F.count("*").alias("n2"), *[F.avg(m).alias(f"again_{m}") for m in DOC_MARKERS],
+        sum((F.var_samp(m) for m in DOC_MARKERS[1:]), F.var_samp(DOC_MARKERS[0])).alias("spread2"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9 * (1 + F.abs(F.col(b)))
+    both = again.join(carried, "path", "left")
+    known = F.col("path").isNotNull() & (F.col("n2") > 1)
+    every = lambda c: F.min(F.when(known, F.coalesce(c, F.lit(False)).cast("int")).otherwise(1)) == 1
+    means = near(names[0], f"again_{DOC_MARKERS[0]}")
+    for m in DOC_MARKERS[1:]:
+        means = means & near(f"m_{m}", f"again_{m}")
+    return both.agg(F.sum("n2").alias("cells"), every(F.col("n") == F.col("n2")).alias("counts_agree"),
+                    every(means).alias("means_agree"), every(near("spread", "spread2")).alias("covariances_agree"))
+
+
 @query("resumed_tree_nodes", "SPL-15 SNK-6")
 def resumed_tree_nodes(spark, sf):
     """Grow one level, store, reload, and go on from the open leaves."""
