@@ -19,6 +19,7 @@ from markertree.operators.normalize import log_transform
 from markertree.operators.profiles import PROFILES
 from markertree.plans import expression as X
 from markertree.plans import postpass as PP
+from markertree.plans import treestore as TS
 from markertree.plans.consensus import grow_consensus, leaf_table, pack_expression
 from markertree.plans.grow import grow, reopen
 from markertree.plans.queries_tables import NODE_WEIGHTS_SQL, event_weights, scratch
@@ -288,6 +289,37 @@ def consensus_leaf_cells(spark, sf):
     return leaf_table(pack_expression(panel, long)[0], tree)
 
 
+def stored_consensus(spark, sf):
+    """A grown tree, stored and loaded again, with the packed rows and the stored cell paths."""
+    panel, long, tree = document_consensus(spark, sf)
+    rows, features = pack_expression(panel, long)
+    rows = materialize(rows)
+    path = scratch(spark, "consensus")
+    TS.save_consensus(tree, TS.place_cells(rows, tree), path, "grown")
+    return rows, *TS.load_consensus(spark, path, "grown", features)
+
+
+@query("rewritten_tree_sizes", "XDS-17 SNK-6 XDS-7 XDS-21", """
+SELECT 'b' || CAST(doc_id % 3 AS VARCHAR) AS batch, count(*) AS cells, CAST(0 AS BIGINT) AS moved, TRUE AS same_sizes, TRUE AS same_rules
+FROM documents GROUP BY ALL""")
+def rewritten_tree_sizes(spark, sf):
+    """A walk over the whole stored tree without passes leaves sizes and rules as they are."""
+    rows, tree, sides = stored_consensus(spark, sf)
+    out, paths = TS.rewrite(tree, rows, sides, DOC_MARKERS, [])
+    before, after = (x.groupBy("batch", "path").agg(F.count("*").alias(n)) for x, n in ((sides, "a"), (paths, "b")))
+    same = before.join(after, ["batch", "path"], "full").groupBy("batch").agg(F.min((F.col("a").eqNullSafe(F.col("b"))).cast("int")).alias("s"))
+    rules = all(n.rule == tree.batches[b].nodes[p].rule for b, t in out.batches.items() for p, n in t.nodes.items())
+    sizes = paths.groupBy("batch").agg(F.count("*").alias("cells"), F.count_if("moved").alias("moved"))
+    return sizes.join(same, "batch").select("batch", "cells", "moved", (F.col("s") == 1).alias("same_sizes"), F.lit(rules).alias("same_rules"))
+
+
+@query("postpassed_tree_nodes", "XDS-10 XDS-13 XDS-17 KNN-2 MIX-15")
+def postpassed_tree_nodes(spark, sf):
+    """All passes at every node: sure cells, genes and weights learned again, mixture cuts, neighbours' votes."""
+    rows, tree, sides = stored_consensus(spark, sf)
+    return TS.rewrite(tree, rows, sides, DOC_MARKERS, list(TS.PASSES))[0].nodes_frame(spark)
+
+
 @query("consensus_weights", "XDS-18 SNK-3")
 def consensus_weights(spark, sf):
     return document_consensus(spark, sf)[2].weights_frame(spark)

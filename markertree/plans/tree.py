@@ -176,12 +176,11 @@ class Tree:
         return spark.createDataFrame(self.to_rows(), NODES)
 
     @classmethod
-    def from_frame(cls, nodes: DataFrame) -> "Tree":
-        """Rebuild a tree from its stored node table (node-sized)."""
-        from markertree.session import bounded_rows
-
+    def from_rows(cls, rows) -> "Tree":
+        """Rebuild a tree from node rows (as ``to_rows`` gives them, or collected ones)."""
         out, batch = {}, None
-        for r in bounded_rows(nodes):
+        for row in rows:
+            r = dict(zip(NODES.fieldNames(), row))
             batch = r["batch"]
             out[r["path"]] = Node(
                 path=r["path"], n=r["n"], weight=r["weight"], key=list(r["key"] or []), status=r["status"], stop=r["stop"],
@@ -191,6 +190,13 @@ class Tree:
             )
         return cls(out, batch)
 
+    @classmethod
+    def from_frame(cls, nodes: DataFrame) -> "Tree":
+        """Rebuild a tree from its stored node table (node-sized)."""
+        from markertree.session import bounded_rows
+
+        return cls.from_rows(bounded_rows(nodes.select(*NODES.fieldNames())))
+
 
 def rule_from_record(record, dims: int) -> tuple[dict, str]:
     """Split rule of a scan record and the side of the chosen cluster.
