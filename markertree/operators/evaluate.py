@@ -80,23 +80,63 @@ def adjusted_mutual_info(table: DataFrame) -> DataFrame:
     )
 
 
-def side_separation(df: DataFrame, node: str, side: str, array: str) -> DataFrame:
-    """Mean squared Euclidean distance within and across the sides of each node.
+def group_distances(df: DataFrame, node: str, group: str, id_: str, array: str, chunk: int = 1024, share: float = 1.0) -> DataFrame:
+    """(node, a, b, pairs, distance, error): mean Euclidean distance between the groups of each node, a <= b by name.
 
-    Exact from moments: within = 2 * total variance, across adds the squared mean gap.
+    Within a group all ordered pairs count, a row with itself included, as a full distance matrix does. A node's rows are dealt
+    by hash into parts of about ``chunk`` rows, and every two parts meet in one task as matrices; only sums come out. The
+    work is the square of a node's rows. ``share`` < 1 takes that part of the meetings, chosen by hash: the mean
+    is then an estimate from whole random parts, and ``error`` its standard error (0 when exact, null for a single meeting).
     """
-    dims = df.select(node, side, F.posexplode(array).alias("dim", "v"))
-    per = dims.groupBy(node, side, "dim").agg(F.avg("v").alias("m"), F.var_pop("v").alias("v"), F.count("v").alias("n"))
-    s = lambda k, c: F.max(F.when(F.col(side) == k, F.col(c)))
-    both = per.groupBy(node, "dim").agg(
-        s("L", "m").alias("ml"), s("R", "m").alias("mr"), s("L", "v").alias("vl"), s("R", "v").alias("vr"),
-        s("L", "n").alias("nl"), s("R", "n").alias("nr"),
-    )
+    import numpy as np
+    import pandas as pd
+
+    from markertree.session import sized
+
+    if not 0 < share <= 1:
+        raise ValueError("share lies in (0, 1]")
+    rows = df.select(F.col(node).alias("node"), F.col(group).cast("string").alias("g"), F.col(id_).alias("id"), F.col(array).cast("array<double>").alias("x")).dropna()
+    parts = sized(rows.groupBy("node").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")))
+    dealt = rows.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    fanned = dealt.select("node", "g", "part", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("peer")).select(
+        "node", "g", "part", "x", F.least("part", "peer").alias("lo"), F.greatest("part", "peer").alias("hi"))
+    if share < 1:
+        fanned = fanned.filter(F.pmod(F.xxhash64(F.lit(17), "node", "lo", "hi"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key[1], key[2]
+        x, part, g = np.vstack(pdf["x"].to_numpy()), pdf["part"].to_numpy(), pdf["g"].to_numpy(dtype=object)
+        names, code = np.unique(g.astype(str), return_inverse=True)
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        total, count = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
+        hot = np.eye(len(names))[code[right]]
+        step = max(1, 4_000_000 // max(1, x.shape[1] * len(right)))
+        for at in range(0, len(left), step):
+            i = left[at:at + step]
+            d = np.sqrt(((x[i][:, None, :] - x[right][None, :, :]) ** 2).sum(axis=2))
+            np.add.at(total, code[i], d @ hot)
+            np.add.at(count, code[i], np.broadcast_to(hot.sum(axis=0), (len(i), len(names))))
+        if lo != hi:  # the other order of the two parts
+            total, count = total + total.T, count + count.T
+        out = [(key[0], a, b, total[i, j], count[i, j]) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j and count[i, j]]
+        return pd.DataFrame(out, columns=["node", "a", "b", "total", "pairs"])
+
+    met = fanned.groupBy("node", "lo", "hi").applyInPandas(meet, f"node {kind}, a string, b string, total double, pairs double")
+    error = F.lit(0.0) if share == 1 else F.stddev_samp(F.col("total") / F.col("pairs")) / F.sqrt(F.count("*"))
+    return met.groupBy("node", "a", "b").agg(
+        F.sum("pairs").cast("bigint").alias("pairs"), (F.sum("total") / F.sum("pairs")).alias("distance"), error.alias("error")
+    ).withColumnRenamed("node", node)
+
+
+def side_separation(df: DataFrame, node: str, side: str, array: str, id_: str, **options) -> DataFrame:
+    """Mean Euclidean distance within and across the sides L and R of each node; see ``group_distances``."""
+    both = group_distances(df.filter(F.col(side).isin("L", "R")), node, side, id_, array, **options)
+    pick = lambda a, b, c: F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col(c)))
+    size = lambda s: F.round(F.sqrt(pick(s, s, "pairs"))).cast("bigint")
     return both.groupBy(node).agg(
-        F.max("nl").alias("n_left"), F.max("nr").alias("n_right"),
-        (F.sum("vl") * 2.0).alias("within_left"), (F.sum("vr") * 2.0).alias("within_right"),
-        F.sum(F.col("vl") + F.col("vr") + (F.col("ml") - F.col("mr")) * (F.col("ml") - F.col("mr"))).alias("across"),
-    )
+        size("L").alias("n_left"), size("R").alias("n_right"), pick("L", "L", "distance").alias("within_left"),
+        pick("R", "R", "distance").alias("within_right"), pick("L", "R", "distance").alias("across"))
 
 
 def separation_hinge(separation: DataFrame, margin: float = 1.0) -> DataFrame:
@@ -105,12 +145,24 @@ def separation_hinge(separation: DataFrame, margin: float = 1.0) -> DataFrame:
     return separation.withColumn("hinge", F.greatest(within - F.col("across") + F.lit(margin), F.lit(0.0)))
 
 
-def nested_separation(separation: DataFrame, parent_of, node: str = "node_id", margin: float = 0.0) -> DataFrame:
-    """Compare each child split with its parent's: relu(child across - parent across + margin)."""
-    parents = separation.select(F.col(node).alias("_parent"), F.col("across").alias("parent_across"))
-    return separation.withColumn("_parent", parent_of).join(parents, "_parent").withColumn(
-        "shortfall", F.greatest(F.col("across") - F.col("parent_across") + F.lit(margin), F.lit(0.0))
-    ).drop("_parent")
+def nested_separation(df: DataFrame, node: str, quarter: str, array: str, id_: str, margin: float = 1.0, **options) -> DataFrame:
+    """(node, child, inner, outer, shortfall): each child's own split against its outer side's distance to the other child.
+
+    ``quarter`` holds LL, LR, RL or RR (side, then the child's side). For the left child ``inner`` is the mean distance LL-LR and
+    ``outer`` that of LL to all of R; for the right child RL-RR and RR to all of L. ``shortfall`` is relu(inner - outer + margin).
+    """
+    d = group_distances(df.filter(F.col(quarter).isin("LL", "LR", "RL", "RR")), node, quarter, id_, array, **options)
+    pick = lambda a, b, c: F.sum(F.when((F.col("a") == a) & (F.col("b") == b), F.col(c)))
+    mean = lambda pairs: sum((pick(a, b, "pairs") * pick(a, b, "distance") for a, b in pairs[1:]), pick(*pairs[0], "pairs") * pick(*pairs[0], "distance")) / (
+        sum((pick(a, b, "pairs") for a, b in pairs[1:]), pick(*pairs[0], "pairs")))
+    sides = d.groupBy(node).agg(
+        mean([("LL", "LR")]).alias("il"), mean([("LL", "RL"), ("LL", "RR")]).alias("ol"),
+        mean([("RL", "RR")]).alias("ir"), mean([("LL", "RR"), ("LR", "RR")]).alias("orr"))
+    each = F.explode(F.array(
+        F.struct(F.lit("L").alias("child"), F.col("il").alias("inner"), F.col("ol").alias("outer")),
+        F.struct(F.lit("R").alias("child"), F.col("ir").alias("inner"), F.col("orr").alias("outer")))).alias("e")
+    return sides.select(node, each).select(node, "e.*").withColumn(
+        "shortfall", F.greatest(F.col("inner") - F.col("outer") + F.lit(margin), F.lit(0.0)))
 
 
 def batch_alignment(df: DataFrame, node: str, side: str, batch: str, array: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -154,77 +153,16 @@ def leaf_codes(leaf_means: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return bits.groupBy("leaf").agg(F.max("n").alias("n"), F.concat_ws("", F.transform(ordered, lambda e: e["bit"])).alias("code"))
 
 
-def basis_types(codes: list[tuple[str, int, str]]) -> list[dict]:
-    """Split leaf types into basis and artificial ones.
-
-    ``codes`` is (leaf, n, code), leaf-sized. Leaves are visited by falling size. A leaf whose code is the
-    bitwise OR of two basis leaves found so far (a leaf may pair with itself) is artificial; failing
-    that, of three different ones; otherwise it joins the basis. The code sets are held as
-    integers, and OR pairs are looked up by value.
-    """
-    total = sum(n for _, n, _ in codes)
-    ordered = sorted(codes, key=lambda c: (-c[1], c[0]))
-    basis: list[tuple[str, int, float]] = []
-    out = []
-    for leaf, n, code in ordered:
-        target = int(code, 2) if code else 0
-        fits = [b for b in basis if b[1] | target == target]
-        explained = [
-            pair for pair in combinations_with_replacement(fits, 2) if pair[0][1] | pair[1][1] == target
-        ] or [
-            triple for triple in combinations(fits, 3) if triple[0][1] | triple[1][1] | triple[2][1] == target
-        ]
-        weight = n / total
-        if explained:
-            products = []
-            for group in explained:
-                p = 1.0
-                for member in group:
-                    p *= member[2]
-                products.append(p)
-            constant = max(products) / weight
-        else:
-            basis.append((leaf, target, weight))
-            constant = 0.0
-        out.append({
-            "leaf": leaf, "n": n, "code": code, "basis": 0 if explained else 1,
-            "explained_by": ";".join("+".join(m[0] for m in group) for group in explained) or None,
-            "merge_constant": constant,
-        })
-    return out
-
-
-TYPE_SCHEMA = "leaf string, n bigint, code string, basis int, explained_by string, merge_constant double"
-
-
-def classify_leaf_types(codes: DataFrame) -> DataFrame:
-    rows = [(r["leaf"], r["n"], r["code"]) for r in bounded_rows(codes.select("leaf", "n", "code"), 10_000)]
-    typed = [tuple(row[c] for c in ("leaf", "n", "code", "basis", "explained_by", "merge_constant")) for row in basis_types(rows)]
-    return codes.sparkSession.createDataFrame(typed, TYPE_SCHEMA)
-
-
 def flag_multiplets(cells: DataFrame, types: DataFrame, leaf: str = "leaf") -> DataFrame:
     """1 for cells in artificial leaves; the type table has one row per leaf."""
     marks = types.select(F.col("leaf").alias(leaf), (1 - F.col("basis")).alias("multiplet"))
-    return cells.join(F.broadcast(marks), leaf)
+    return cells.join(marks, leaf)
 
 
 def multiplet_ratio(flagged: DataFrame) -> DataFrame:
     return flagged.agg(F.avg("multiplet").alias("multiplet_ratio"))
 
 
-def or_pairs(codes: DataFrame) -> DataFrame:
-    """All leaf pairs whose OR of codes equals a third leaf's code, by joining on the OR value.
-
-    Leaf-sized input; used as an audit table of possible doublets.
-    """
-    v = codes.select("leaf", F.conv("code", 2, 10).cast("bigint").alias("v"))
-    a, b = v.select(F.col("leaf").alias("a"), F.col("v").alias("va")), v.select(F.col("leaf").alias("b"), F.col("v").alias("vb"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b")).withColumn("v", F.col("va").bitwiseOR(F.col("vb")))
-    third = v.withColumnRenamed("leaf", "c")
-    return pairs.join(F.broadcast(third), "v").filter((F.col("c") != F.col("a")) & (F.col("c") != F.col("b"))).select("a", "b", "c")
-
-
 def tree_levels(nodes: DataFrame, node: str = "node_id") -> DataFrame:
     """Nodes and leaves per depth."""
     leaf = leaves_of(nodes.select(node), node).withColumn("_leaf", F.lit(1))

@@ -12,6 +12,7 @@ from markertree.operators import features as FE
 from markertree.operators import moments as M
 from markertree.operators import neighbors as NB
 from markertree.operators import normalize as N
+from markertree.operators import codes as CO
 from markertree.operators import treetables as T
 from markertree.operators.select import top_per_group
 from markertree.plans.registry import LINE_SQL, LONG_SQL, TOKENS_SQL, query, r, rounded
@@ -339,12 +340,39 @@ def leaf_binary_codes(spark, sf):
 WITH {CODES_SQL}, v AS (SELECT leaf, CAST(substr(code, 1, 1) AS INTEGER) * 8 + CAST(substr(code, 2, 1) AS INTEGER) * 4 + CAST(substr(code, 3, 1) AS INTEGER) * 2 + CAST(substr(code, 4, 1) AS INTEGER) AS v FROM codes)
 SELECT a.leaf AS a, b.leaf AS b, c.leaf AS c FROM v a JOIN v b ON a.leaf < b.leaf JOIN v c ON c.v = (a.v | b.v) WHERE c.leaf NOT IN (a.leaf, b.leaf)""")
 def doublet_code_pairs(spark, sf):
-    return T.or_pairs(eight_leaf_codes(spark, sf)[1])
+    return CO.or_groups(eight_leaf_codes(spark, sf)[1], 2)
 
 
-@query("basis_and_artificial_types", "TRE-14 AGG-14")
+VALUES_SQL = f"""{CODES_SQL}, v AS (SELECT leaf, n, code, list_sum(list_transform(string_split(code, ''), lambda c, i: CAST(c AS BIGINT) << (length(code) - i))) AS v FROM codes)"""
+
+
+@query("doublet_code_triples", "JOI-11", f"""
+WITH {VALUES_SQL}
+SELECT a.leaf AS a, b.leaf AS b, d.leaf AS d, c.leaf AS c FROM v a JOIN v b ON a.leaf < b.leaf JOIN v d ON b.leaf < d.leaf
+JOIN v c ON CAST(c.v AS BIGINT) = (CAST(a.v AS BIGINT) | CAST(b.v AS BIGINT) | CAST(d.v AS BIGINT)) WHERE c.leaf NOT IN (a.leaf, b.leaf, d.leaf)""")
+def doublet_code_triples(spark, sf):
+    return CO.or_groups(eight_leaf_codes(spark, sf)[1], 3)
+
+
+TYPES_SQL = f"""
+WITH RECURSIVE {VALUES_SQL}, o AS MATERIALIZED (
+  SELECT leaf, n, code, CAST(v AS BIGINT) AS v, n / sum(n) OVER () AS share, row_number() OVER (ORDER BY n DESC, leaf) AS i FROM v),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(v BIGINT, s DOUBLE)[]) AS basis, CAST([] AS DOUBLE[]) AS pairs, CAST([] AS DOUBLE[]) AS triples
+  UNION ALL
+  SELECT i, CASE WHEN len(pairs) + len(triples) = 0 THEN list_append(basis, {{'v': t, 's': share}}) ELSE basis END, pairs, triples FROM (
+    SELECT i, basis, t, share, pairs, CASE WHEN len(pairs) > 0 THEN [] ELSE flatten(flatten(list_transform(basis, lambda a, p: list_transform(basis, lambda b, q:
+      list_transform(list_filter(basis, lambda d, r: p < q AND q < r AND (a.v | b.v | d.v) = t), lambda d: a.s * b.s * d.s))))) END AS triples FROM (
+      SELECT o.i, basis, o.v AS t, o.share, flatten(list_transform(basis, lambda a, p: list_transform(
+        list_filter(basis, lambda b, q: p <= q AND (a.v | b.v) = o.v), lambda b: a.s * b.s))) AS pairs
+      FROM step JOIN o ON o.i = step.i + 1))),
+types AS (SELECT o.*, len(pairs) + len(triples) AS groups, coalesce(list_max(list_concat(pairs, triples)), 0) AS top FROM o JOIN step USING (i))"""
+
+
+@query("basis_and_artificial_types", "TRE-14 AGG-14", TYPES_SQL + """
+SELECT leaf, n, code, CAST(groups = 0 AS INTEGER) AS basis, CAST(groups AS BIGINT) AS groups, round(top / share, 6) + 0.0 AS merge_constant FROM types""")
 def basis_and_artificial_types(spark, sf):
-    return rounded(T.classify_leaf_types(eight_leaf_codes(spark, sf)[1]), "merge_constant")
+    return rounded(CO.leaf_types(eight_leaf_codes(spark, sf)[1]), "merge_constant")
 
 
 @query("multiplet_share", "AGG-15", f"""
@@ -357,10 +385,11 @@ def multiplet_share(spark, sf):
     return rounded(T.multiplet_ratio(T.flag_multiplets(leaves, types)), "multiplet_ratio", digits=9)
 
 
-@query("multiplet_cells", "TRE-15")
+@query("multiplet_cells", "TRE-15", TYPES_SQL + """
+SELECT cell_id, leaf, CAST(groups > 0 AS INTEGER) AS multiplet FROM q JOIN types USING (leaf)""")
 def multiplet_cells(spark, sf):
     leaves, codes = eight_leaf_codes(spark, sf)
-    return T.flag_multiplets(leaves, T.classify_leaf_types(codes)).select("cell_id", "leaf", "multiplet")
+    return T.flag_multiplets(leaves, CO.leaf_types(codes)).select("cell_id", "leaf", "multiplet")
 
 
 # ---------------------------------------------------------------- differential features
@@ -528,17 +557,30 @@ def adjusted_mutual_information(spark, sf):
 
 @query("side_separation_audit", "EVL-5", """
 WITH e AS (SELECT vec_id, label // 2 AS node, CASE label % 2 WHEN 0 THEN 'L' ELSE 'R' END AS side, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings),
-d AS (SELECT a.node, a.side || b.side AS kind, list_distance(a.v, b.v) ** 2 AS d FROM e a JOIN e b ON a.node = b.node)
+d AS (SELECT a.node, a.side || b.side AS kind, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.node = b.node)
 SELECT CAST(node AS INTEGER) AS node_id, (SELECT count(*) FROM e WHERE e.node = d.node AND side = 'L') AS n_left, (SELECT count(*) FROM e WHERE e.node = d.node AND side = 'R') AS n_right,
   round(avg(d) FILTER (kind = 'LL'), 6) AS within_left, round(avg(d) FILTER (kind = 'RR'), 6) AS within_right, round(avg(d) FILTER (kind = 'LR'), 6) AS across,
   round(greatest((avg(d) FILTER (kind = 'LL') + avg(d) FILTER (kind = 'RR')) / 2 - avg(d) FILTER (kind = 'LR') + 1, 0), 6) AS hinge FROM d GROUP BY node""")
 def side_separation_audit(spark, sf):
-    e = embedding_dims(spark, sf).select(F.floor(F.col("label") / 2).cast("int").alias("node_id"),
+    e = embedding_dims(spark, sf).select("vec_id", F.floor(F.col("label") / 2).cast("int").alias("node_id"),
                                          F.when(F.col("label") % 2 == 0, "L").otherwise("R").alias("side"), "x")
-    s = E.separation_hinge(E.side_separation(e, "node_id", "side", "x"))
+    s = E.separation_hinge(E.side_separation(e, "node_id", "side", "x", "vec_id"))
     return rounded(s, "within_left", "within_right", "across", "hinge")
 
 
+@query("nested_separation_audit", "EVL-5", """
+WITH e AS (SELECT vec_id, label // 4 AS node, list_extract(['LL', 'LR', 'RL', 'RR'], label % 4 + 1) AS q, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings),
+d AS (SELECT a.node, a.q AS a, b.q AS b, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.node = b.node),
+c AS (SELECT node, 'L' AS child, avg(d) FILTER (a = 'LL' AND b = 'LR') AS inner_, avg(d) FILTER (a = 'LL' AND b IN ('RL', 'RR')) AS outer_ FROM d GROUP BY node
+  UNION ALL SELECT node, 'R', avg(d) FILTER (a = 'RL' AND b = 'RR'), avg(d) FILTER (a = 'RR' AND b IN ('LL', 'LR')) FROM d GROUP BY node)
+SELECT CAST(node AS INTEGER) AS node_id, child, round(inner_, 6) AS "inner", round(outer_, 6) AS "outer", round(greatest(inner_ - outer_ + 1, 0), 6) AS shortfall
+FROM c""")
+def nested_separation_audit(spark, sf):
+    quarter = F.element_at(F.array(*[F.lit(q) for q in ("LL", "LR", "RL", "RR")]), (F.col("label") % 4 + 1).cast("int"))
+    e = embedding_dims(spark, sf).select("vec_id", F.floor(F.col("label") / 4).cast("int").alias("node_id"), quarter.alias("q"), "x")
+    return rounded(E.nested_separation(e, "node_id", "q", "x", "vec_id"), "inner", "outer", "shortfall")
+
+
 @query("batch_centroid_alignment", "EVL-6", """
 WITH e AS (SELECT CAST(vec_id % 3 AS INTEGER) AS batch, CAST(label // 2 AS INTEGER) AS node_id, CASE label % 2 WHEN 0 THEN 'L' ELSE 'R' END AS side, unnest(range(1, 65)) AS dim, unnest(embedding) AS v FROM embeddings),
 c AS (SELECT node_id, side, batch, dim, avg(CAST(v AS DOUBLE)) AS c FROM e GROUP BY ALL),

@@ -114,15 +114,6 @@ def test_hot_value_does_not_break_the_scan(spark):
     assert r["n"] == 9000 and r["separable"] and r["n_chosen"] in (3000, 6000)
 
 
-def test_basis_types_match_brute_force():
-    codes = [("w", 50, "100"), ("x", 40, "010"), ("y", 5, "110"), ("z", 3, "001"), ("v", 2, "111")]
-    out = {r["leaf"]: r for r in T.basis_types(codes)}
-    assert [out[k]["basis"] for k in "wxyzv"] == [1, 1, 0, 1, 0]
-    assert out["y"]["explained_by"] == "w+x"
-    assert out["y"]["merge_constant"] == pytest.approx(0.5 * 0.4 / 0.05)
-    assert out["v"]["explained_by"] == "w+x+z"
-
-
 def test_splice_moves_the_sibling_up():
     # root 0 with children 1, 2; 2 has children 5, 6; removing 5 puts 6 in the place of 2
     new = T.remap_after_removal([0, 1, 2, 5, 6, 13, 14], [5])
