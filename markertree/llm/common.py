@@ -53,7 +53,7 @@ def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[list[str]], np
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = judge()
-        for batch in chunks(batches):
+        for batch in chunks(batches, 1 << 20):
             yield batch.filter(pa.array(passes([t or "" for t in batch.column("text").to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

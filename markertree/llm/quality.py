@@ -122,8 +122,8 @@ class Texts:
         for kind, (bucket, count) in enumerate(self.buckets()):
             for i, part in enumerate(np.split(bucket, np.cumsum(count)[:-1])):
                 u, c = np.unique(part, return_counts=True)
-                index[i].append(u + (kind << BITS))
-                value[i].append(SCALE * c / max(1, len(part)))
+                index[i].append((u + (kind << BITS)).astype(np.int32))
+                value[i].append((SCALE * c / max(1, len(part))).astype(np.float32))
         return [(np.concatenate(i), np.concatenate(v)) for i, v in zip(index, value)]
 
 
@@ -153,6 +153,11 @@ def _fit_shard(epochs: int, rate: float):
         rows.sort(key=lambda r: zlib.crc32(b"%d" % r[0]))
         found = [f for at in range(0, len(rows), 64) for f in Texts([r[1] for r in rows[at:at + 64]]).features()]
         y = [r[2] for r in rows]
+        del rows, table
+        # two large arrays go back to the system when the shard is done; thousands of small ones stay with the worker
+        ends = np.cumsum([0] + [len(i) for i, _ in found])
+        every, values = np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found])
+        found = [(every[a:b], values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
         w, seen, bias = np.zeros(len(KINDS) << BITS), np.full(len(KINDS) << BITS, 1e-2), 0.0
         heavy = {1: 1.0, 0: min(8.0, max(1.0, sum(y) / max(1, len(y) - sum(y))))}
         for _ in range(epochs):
