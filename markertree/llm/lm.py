@@ -40,7 +40,7 @@ FREQUENT_WORDS = 1 << 20
 """Bound on the word counts that are broadcast; other words meet their counts in a join."""
 WORD_FLAG = 1 << 62
 CACHE_BITS = 20
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 """Bytes of text that a task works on at once."""
 MOST = 65_535
 
@@ -309,20 +309,20 @@ class Scorer:
     def log10(self, raw: list[bytes]) -> np.ndarray:
         g, size = ngrams(raw)
         out = np.empty(len(g))
-        for at in range(0, len(g), 1 << 21):
-            part = g[at:at + (1 << 21)]
+        for at in range(0, len(g), 1 << 18):
+            part = g[at:at + (1 << 18)]
             place = (part * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)
             miss = self.keys[place] != part
             value = self.values[place].astype(np.float64)
             if miss.any():
                 u, back = np.unique(part[miss], return_inverse=True)
-                score = np.concatenate([self.model.log10(u[i:i + 65536]) for i in range(0, len(u), 65536)])
+                score = np.concatenate([self.model.log10(u[i:i + 16384]) for i in range(0, len(u), 16384)])
                 value[miss] = score[back]
                 home = (u * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)
                 self.keys[home] = u
                 self.values[home] = score
                 # of two 6-grams for one place the last is in both arrays, as numpy assigns in order
-            out[at:at + (1 << 21)] = value
+            out[at:at + (1 << 18)] = value
         return np.add.reduceat(out, np.cumsum(size) - size)
 
 
