@@ -1,0 +1,82 @@
+"""Compact windows of the passage search: against brute force, measured recall, repeated ids, frequent lines."""
+
+import random
+
+import numpy as np
+import pytest
+
+from markertree.llm import substring
+
+DOCS = "doc_id long, text string"
+
+
+def random_words(r, n):
+    return ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("values", [5, 1 << 60])
+def test_windows_are_the_wide_nodes_of_the_tree(values):
+    r = np.random.default_rng(3)
+    for n in (0, 3, 7, 8, 60, 200):
+        v = r.integers(0, values, n).astype(np.uint64)
+        t = 8
+        l, c, right = substring.compact_windows(v, t)
+        want = []
+        for k in range(n):
+            a = b = k
+            while a and v[a - 1] > v[k]:
+                a -= 1
+            while b + 1 < n and v[b + 1] >= v[k]:
+                b += 1
+            if b - a + 1 >= t:
+                want.append((a, k, b))
+        assert list(zip(l.tolist(), c.tolist(), right.tolist())) == want
+
+
+def test_recall_of_the_least_shingles():
+    """Passages of 46 shingles at similarity 0.8 share a window of some function in at least 99 of 100 cases."""
+    r, shingler, missed = random.Random(4), substring.Shingler(), 0
+    for _ in range(1000):
+        p = random_words(r, 50)
+        q = p[:25] + random_words(r, 1) + p[26:]
+        texts = [random_words(r, 20) + x + random_words(r, 20) for x in (p, q)]
+        a, b = (substring.signatures(shingler.hashes([w.encode() for w in x]), 46) for x in texts)
+        missed += not set(a[0].tolist()) & set(b[0].tolist())
+    assert missed <= 10
+
+
+def test_near_surroundings_equal_counting():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 32, 100).astype("<u4")
+    rows = [np.concatenate((base[:k], r.integers(0, 1 << 32, 100 - k).astype("<u4"))) for k in range(0, 100, 7)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) >= 41 for b in rows] for a in rows]
+    pairs = np.triu_indices(len(rows), 1)
+    assert (substring.near(rows, 46, 0.8)[pairs] == np.array(want)[pairs]).all()
+
+
+def test_only_the_right_row_of_an_id_is_cut(spark):
+    r = random.Random(6)
+    p = random_words(r, 70)
+    other = " ".join(random_words(r, 300))
+    rows = [(1, " ".join(random_words(r, 9) + p)), (2, " ".join(p + random_words(r, 9))), (2, other), (2, other), (None, " ".join(p)), (3, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    left = substring.without_passages(docs, substring.duplicate_passages(docs)).collect()
+    assert sorted(len((x.text or "").split()) for x in left if x.doc_id == 2) == [9, 300, 300]
+    assert [x.text for x in left if x.doc_id in (None, 3)].count(None) == 1 and len(left) == len(rows)
+
+
+def test_frequent_line_does_not_hide_passages(spark, monkeypatch):
+    """A line of 30 words in all rows is no passage; those round it that repeat are found, in one block and in many."""
+    r = random.Random(7)
+    line = random_words(r, 30)
+    rows, want = [], set()
+    for _ in range(60):
+        before, after = random_words(r, 40), random_words(r, 40)
+        rows.append((len(rows), " ".join(before + line + after)))
+        if r.random() < 0.3:
+            want.add((len(rows), len(rows) - 1))
+            rows.append((len(rows), " ".join(random_words(r, 30) + before[-15:] + line + after[:15] + random_words(r, 30))))
+    docs = spark.createDataFrame(rows, DOCS)
+    for group in (256, 8):
+        monkeypatch.setattr(substring, "GROUP", group)
+        assert {(x.doc_id, x.source_doc_id) for x in substring.duplicate_passages(docs).collect()} == want
