@@ -94,12 +94,12 @@ def format_paths(paths: DataFrame) -> DataFrame:
     """One row per path: (conv_id, root_id, path, formatted, loss_spans).
 
     A turn is ``<|role|>text<|end|>`` with role and text escaped. ``loss_spans`` are (start from 1, length) in code
-    points of the escaped assistant texts.
+    points of the escaped assistant texts. A null role or text reads as empty; no paths give no rows.
     """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = paths.select(
-        "conv_id", "root_id", "path", "depth",
-        F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit(CLOSE)).alias("head"),
-        escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss"))
+        "conv_id", "root_id", "path", "depth", F.concat(F.lit(OPEN), _escape_role(role), F.lit(CLOSE)).alias("head"),
+        escape(text).alias("body"), (role == "assistant").alias("loss"))
     grouped = turns.groupBy("conv_id", "root_id", "path").agg(
         F.sort_array(F.collect_list(F.struct("depth", "head", "body", "loss"))).alias("turns"))
     formatted = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))))
