@@ -695,3 +695,110 @@ def stream_leaf_counts(spark, sf):
     scorer.run_updates(scorer.leaf_counts(scored, "ts", "leaf"), sink, scratch(spark, "events-state"))
     counts = scorer.latest_counts(spark.read.parquet(sink), ["window_start", "leaf"])
     return counts.select(F.unix_timestamp("window_start").alias("day"), "leaf", "n")
+
+
+ARRIVAL_DAYS = 3
+"""Days of events in a chunk of files; a row can arrive one chunk late."""
+
+
+@query("stream_closed_windows", "STR-2 AGG-5", """
+WITH late AS (SELECT max(ts) - INTERVAL 7 DAY AS mark FROM events),
+s AS (SELECT event_type AS batch, date_trunc('day', ts) AS day, CASE WHEN value <= 10 THEN 'L' WHEN value <= 40 THEN 'RL' ELSE 'RR' END AS path FROM events WHERE value IS NOT NULL)
+SELECT CAST(date_part('epoch', day) AS BIGINT) AS day, batch, path, count(*) AS n FROM s, late WHERE day + INTERVAL 1 DAY <= mark GROUP BY ALL""")
+def stream_closed_windows(spark, sf):
+    """Leaf counts of each batch and day, from files whose rows come up to a chunk late; a day is written once, when it closes."""
+    from markertree.plans.tree import interval_rule
+
+    source, sink = scratch(spark, "late-in"), scratch(spark, "late-out")
+    events = table(spark, sf, "events").filter("value IS NOT NULL").select("event_id", "ts", F.col("event_type").alias("batch"), "value")
+    chunk = F.floor(F.unix_timestamp("ts") / (ARRIVAL_DAYS * 86400)) + F.pmod(F.xxhash64("event_id"), F.lit(2))
+    chunks = scratch(spark, "late-chunks")
+    events.withColumn("chunk", chunk).write.partitionBy("chunk").parquet(chunks)
+    arriving = spark.read.parquet(chunks)
+    for c in sorted(row[0] for row in arriving.select("chunk").distinct().collect()):  # files arrive chunk by chunk, as days do
+        arriving.filter(F.col("chunk") == c).drop("chunk").write.mode("append").parquet(source)
+    tree = Tree()
+    tree.split("", interval_rule("value", [10.0], "L"))
+    tree.split("R", interval_rule("value", [40.0], "L"))
+    stream = scorer.read_cells(spark, source, events.schema, 1)
+    counts = scorer.leaf_counts(scorer.score_cells(stream, tree), "ts", "path", late=f"{2 * ARRIVAL_DAYS + 1} days", by=["batch"])
+    scorer.run_to_table(counts, sink, scratch(spark, "late-state"))
+    return spark.read.parquet(sink).select(F.unix_timestamp("window_start").alias("day"), "batch", "path", "n")
+
+
+DIRECTION_TOKENS = 100
+
+
+def label_direction(long, training, label):
+    """(feature, w): the tokens whose rates among training documents differ most between the labels, with integer differences."""
+    n = training.agg(F.sum(label).alias("n1"), F.sum(1 - F.col(label)).alias("n0")).first()
+    df = long.join(training, "cell_id").groupBy("feature").agg(F.sum(label).alias("a"), F.sum(1 - F.col(label)).alias("b"))
+    return df.select("feature", (F.col("a") * n["n0"] - F.col("b") * n["n1"]).cast("double").alias("w")).orderBy(
+        F.abs("w").desc(), "feature").limit(DIRECTION_TOKENS)
+
+
+def label_tree(training, long, features):
+    """A two-level tree of stored directions: toxicity at the root, quality below, cut in each batch at the floor of its mean projection."""
+    from markertree.plans.consensus import ConsensusTree
+
+    chosen = {c: materialize(label_direction(long, training, c)) for c in ("toxic", "quality")}
+    vectors = {c: {x["i"]: x["w"] for x in d.join(features, "feature").collect()} for c, d in chosen.items()}  # DIRECTION_TOKENS rows
+    cells = training.join(long.select("cell_id", "feature", "value"), "cell_id", "left")
+    for c, d in chosen.items():
+        cells = cells.join(d.withColumnRenamed("w", f"w_{c}"), "feature", "left")
+    h = materialize(cells.groupBy("batch", "cell_id", "toxic", "quality").agg(
+        *[F.coalesce(F.sum(F.col("value") * F.col(f"w_{c}")), F.lit(0.0)).alias(f"h_{c}") for c in chosen]))
+    tree = ConsensusTree({}, Tree(), features)
+
+    def split(path, rows, label):
+        ids = sorted(vectors[label])
+        centre = {x[label]: x["m"] for x in rows.groupBy(label).agg(F.avg(f"h_{label}").alias("m")).collect()}
+        cuts = {x["batch"]: float(x["m"]) for x in rows.groupBy("batch").agg(F.floor(F.avg(f"h_{label}")).alias("m")).collect()}
+        tree.weights[path] = {"w": vectors[label], "m0": centre.get(0, 0.0), "m1": centre.get(1, 0.0), "batches": sorted(cuts)}
+        for b, cut in cuts.items():
+            rule = {"kind": "projection", "idx": ids, "w": [vectors[label][i] for i in ids], "cuts": [cut, cut]}
+            tree.batches.setdefault(b, Tree(batch=b)).split(path, rule)
+        return cuts
+
+    cuts = split("", h, "toxic")
+    cut = F.element_at(F.create_map(*[F.lit(x) for item in cuts.items() for x in item]), F.col("batch"))
+    split("L", h.filter(F.col("h_toxic") < cut), "quality")
+    split("R", h.filter(F.col("h_toxic") > cut), "quality")
+    tree.model = scorer.frozen_model(tree)
+    return tree
+
+
+@query("stream_projected_leaves", "STR-1 SNK-6 XDS-11", f"""
+WITH {TOKENS_SQL}, d AS (SELECT CAST(doc_id AS VARCHAR) AS cell_id, lang AS batch FROM documents),
+t AS (SELECT cell_id, batch, toxic, quality FROM d JOIN labels l ON CAST(l.doc_id AS VARCHAR) = cell_id WHERE batch <> 'es' AND toxic IS NOT NULL AND quality IS NOT NULL),
+n AS (SELECT sum(toxic) AS t1, sum(1 - toxic) AS t0, sum(quality) AS q1, sum(1 - quality) AS q0 FROM t),
+f AS (SELECT feature, sum(toxic) AS ta, sum(1 - toxic) AS tb, sum(quality) AS qa, sum(1 - quality) AS qb FROM tokens JOIN t ON tokens.cell_id = t.cell_id GROUP BY feature),
+tw AS (SELECT feature, CAST(ta * t0 - tb * t1 AS DOUBLE) AS w FROM f, n ORDER BY abs(w) DESC, feature LIMIT 100),
+qw AS (SELECT feature, CAST(qa * q0 - qb * q1 AS DOUBLE) AS w FROM f, n ORDER BY abs(w) DESC, feature LIMIT 100),
+x AS (SELECT cell_id, sum(value * tw.w) AS ht, sum(value * qw.w) AS hq FROM tokens LEFT JOIN tw USING (feature) LEFT JOIN qw USING (feature) GROUP BY cell_id),
+h AS (SELECT d.cell_id, d.batch, coalesce(ht, 0) AS ht, coalesce(hq, 0) AS hq FROM d LEFT JOIN x ON x.cell_id = d.cell_id),
+th AS (SELECT h.*, toxic, quality FROM h JOIN t ON h.cell_id = t.cell_id),
+c0 AS (SELECT batch, floor(avg(ht)) AS cut FROM th GROUP BY batch),
+m0 AS (SELECT (coalesce(avg(ht) FILTER (toxic = 0), 0) + coalesce(avg(ht) FILTER (toxic = 1), 0)) / 2 AS mid FROM th),
+p AS (SELECT th.*, CASE WHEN ht < cut THEN 'L' WHEN ht > cut THEN 'R' END AS side FROM th JOIN c0 USING (batch)),
+c1 AS (SELECT batch, side, floor(avg(hq)) AS cut FROM p WHERE side IS NOT NULL GROUP BY ALL),
+m1 AS (SELECT side, (coalesce(avg(hq) FILTER (quality = 0), 0) + coalesce(avg(hq) FILTER (quality = 1), 0)) / 2 AS mid FROM p WHERE side IS NOT NULL GROUP BY side),
+s AS (SELECT h.*, c0.cut IS NOT NULL AS seen, CASE WHEN ht < coalesce(c0.cut, mid) THEN 'L' WHEN ht > coalesce(c0.cut, mid) THEN 'R' END AS side FROM h CROSS JOIN m0 LEFT JOIN c0 ON c0.batch = h.batch),
+e AS (SELECT s.*, CASE WHEN seen THEN c1.cut ELSE m1.mid END AS cut FROM s LEFT JOIN c1 ON c1.batch = s.batch AND c1.side = s.side LEFT JOIN m1 ON m1.side = s.side)
+SELECT batch, cell_id, coalesce(side, '') || CASE WHEN hq < cut THEN 'L' WHEN hq > cut THEN 'R' ELSE '' END AS path FROM e""")
+def stream_projected_leaves(spark, sf):
+    """Arriving documents scored by a tree that is stored and loaded again; its directions come from three languages, the fourth is new to it."""
+    documents = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("cell_id"), F.col("lang").alias("batch"))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("cell_id"), "toxic", "quality").dropna()
+    long = materialize(token_counts(spark, sf).select("cell_id", "feature", "value").join(documents, "cell_id"))
+    rows, features = pack_expression(documents, long)
+    training = materialize(documents.filter("batch <> 'es'").join(labels, "cell_id"))
+    store, source, sink = scratch(spark, "label-tree"), scratch(spark, "packed-in"), scratch(spark, "packed-out")
+    rows.repartition(8, F.xxhash64("cell_id")).write.parquet(source)  # files in no order of ids or batches
+    arriving = spark.read.parquet(source)
+    tree = label_tree(training, long, features)
+    TS.save_consensus(tree, TS.place_cells(arriving, tree), store, "labels")
+    loaded, _ = TS.load_consensus(spark, store, "labels", features)
+    stream = scorer.read_cells(spark, source, arriving.schema, 2)
+    scorer.run_to_table(scorer.score_stored(stream, loaded).select("batch", "cell_id", "path"), sink, scratch(spark, "packed-state"))
+    return spark.read.parquet(sink)
