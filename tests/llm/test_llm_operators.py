@@ -1,6 +1,7 @@
 """Each operator against a plain version, on small rows with nulls, empty and long texts, repeats and clashing columns."""
 
 import gzip
+import math
 import random
 import re
 import zlib
@@ -98,13 +99,36 @@ def test_pruned_search_is_exact():
     r = np.random.default_rng(4)
     x = (r.normal(size=(5000, 6)) * r.exponential(300, size=(5000, 1))).astype(np.int32)
     q = np.concatenate([x[:20], np.zeros((1, 6), np.int32)])
-    which, ids, score = topk.search_group(np.arange(-21, 0), q, np.arange(5000), x, 7)
+    which, ids, score, _ = topk.search_group(np.arange(-21, 0), q, np.arange(5000), x, 7)
     for n in range(21):
         s = x.astype(np.int64) @ q[n].astype(np.int64)
         top = np.lexsort((np.arange(5000), -s))[:7]
         assert ids[which == n].tolist() == top.tolist() and score[which == n].tolist() == s[top].tolist()
 
 
+@pytest.mark.parametrize("size", [30_000.0, 3e6, 3e9])
+def test_top_k_is_exact_for_large_components(spark, size):
+    r = np.random.default_rng(6)
+    vectors = (r.normal(size=(150, 16)) * size).tolist()
+    vectors[40] = [c + 1 / 1024 for c in vectors[3]]  # all but equal, apart only in the last digits
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    whole = [[math.floor(c * 1024) for c in v] for v in vectors]
+    edge = (1 << 63) - 1
+    want = []
+    for q in range(0, 150, 10):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(150) if i != q)[:5]
+        want += [(q, n + 1, i, max(-edge, min(edge, -s))) for n, (s, i) in enumerate(scores)]
+    assert sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 10 == 0, 5).collect()) == want
+
+
+def test_top_k_takes_nulls_and_vectors_of_different_length(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0]), (None, [9.0]), (3, []), (4, [float("inf")]), (5, [0.0, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") <= 2, 3).collect())
+    top = (1 << 63) - 1
+    assert found == [(1, 1, 5, top), (1, 2, 2, 1 << 20), (2, 1, 1, 1 << 20), (2, 2, 5, 0)]
+
+
 def test_packing_places_every_id_once(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
