@@ -21,14 +21,13 @@ from pyspark.sql import functions as F
 from markertree.llm.common import chunks, filter_by_text, fold, texts
 from markertree.llm.quality import labelled_sample
 from markertree.llm.simhash import shingle_hashes
-from markertree.session import materialize
+from markertree.session import discard, materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_~`“”„‘’«»…"
 QUOTES = "\"“”„«»‘’"
 SAMPLE_ROWS = 25_000
 """Bound on the labelled rows that lexicon and score are learned from; a hash of the id picks them."""
-LEXICON_TERMS = 4096
 LEAST_TOXIC = 3
 """Least toxic documents that a term must be in. Its likelihood-ratio statistic must pass twice the logarithm of the number
 of terms tested, so that chance puts about one term into the lexicon at any size of the sample."""
@@ -185,8 +184,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicon(sample: DataFrame) -> tuple[dict[str, float], set[str]]:
     """Terms with their log odds, and the clean words near a term, from (doc_id, text, y) rows of a bounded sample; near copies count once."""
     signed = sample.mapInArrow(_signatures, "doc_id long, text string, y int, first long, second long")
-    once = signed.dropDuplicates(["first"]).dropDuplicates(["second"]).select("text", "y")
-    once = once.persist()
+    # of near copies the smallest id stands, whatever the order of the rows
+    apart = signed.groupBy("first").agg(F.min(F.struct("doc_id", "text", "y", "second")).alias("r")).select("r.*")
+    once = materialize(apart.groupBy("second").agg(F.min(F.struct("doc_id", "text", "y")).alias("r")).select("r.text", "r.y"))
     try:
         by_label = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
         n1, n0 = by_label.get(1, 0), by_label.get(0, 0)
@@ -202,9 +202,9 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], set[str]]:
         odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
         rows = counts.select("term", "a", g.alias("g"), odds.alias("w")).filter(
             (F.col("a") >= LEAST_TOXIC) & (F.col("g") >= least) & (F.col("w") >= 2.0)
-        ).orderBy(F.desc("g"), "term").limit(LEXICON_TERMS).collect()
+        ).orderBy(F.desc("g"), "term").collect()  # terms of a bounded sample that pass the test
     finally:
-        once.unpersist()
+        discard(once)
     chosen: dict[str, float] = {}
     heads = {r["term"][:-1]: r["g"] for r in rows if r["term"].endswith("*")}
     for r in rows:

@@ -214,6 +214,27 @@ def test_repeated_passages_are_found_and_cut(docs):
     assert substring.duplicate_passages(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_are_not_cut_by_each_other(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(6)) for _ in range(n))
+    passage = prose(70)
+    rows = [(1, f"{prose(100)} {passage}"), (2, f"{prose(100)} {passage}"), (2, prose(300)), (3, f"{prose(20)} {passage}"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = substring.without_passages(df, substring.duplicate_passages(df)).collect()
+    size = sorted((x.doc_id, len(words(x.text))) for x in left)
+    assert len(left) == 5 and size[0] == (1, 170)
+    assert (2, 300) in size and ((2, 100) in size or (2, 170) in size)
+    assert (3, 0) in size and ((3, 20) in size or (3, 90) in size)
+
+
+def test_lexicon_does_not_hang_on_the_order_of_copies(spark):
+    clean, bad = "a calm walk along the quiet river bank today", "you grobnak idiot get away from the river bank"
+    rows = [(i, f"{clean} number {i}", 0) for i in range(60)] + [(100 + i, f"{bad} number {i}", 1) for i in range(30)]
+    rows += [(200, rows[70][1], 0), (201, rows[5][1], 1)]  # copies with another label
+    frame = lambda x, parts: spark.createDataFrame(x, "doc_id long, text string, y int").repartition(parts)
+    assert toxicity.lexicon(frame(rows, 1)) == toxicity.lexicon(frame(rows[::-1], 7))
+
+
 def test_cut_words_keeps_the_rest():
     assert substring.cut_words(" a  bé\tc\nd ", [(1, 3)]) == " a  d "
     assert substring.cut_words("", [(0, 1)]) == ""
