@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markertree.operators import knots as K
-from markertree.session import bounded_rows, materialize
+from markertree.session import bounded_rows, discard, materialize
 
 
 @dataclass
@@ -153,6 +153,7 @@ def fit_models(df: DataFrame, markers: list[str], ks: list[int], diagonal: bool
             if trace is not None:
                 trace.append((models[i].k, mean_ll))
         live = still
+    discard(shifted)
     for m in models:
         m.means = m.means + centre
     return models

@@ -8,6 +8,8 @@ from markertree.functions.stats import hashed_normal
 from markertree.operators import em as EM
 from markertree.operators import linear as L
 from markertree.operators import metagenes as MG
+from markertree.operators.normalize import wide_markers
+from markertree.plans.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +127,20 @@ def test_dirichlet_mixture_separates_count_profiles(spark):
     out = MG.dirichlet_labels(df, model)
     share = out.groupBy("label").agg(F.avg(F.col("kind").cast("double")).alias("s")).collect()
     assert {round(r["s"]) for r in share} == {0, 1} and all(abs(r["s"] - round(r["s"])) < 0.02 for r in share)
+
+
+def test_wide_markers_take_one_shuffle(spark):
+    long = spark.createDataFrame([("a", "1", "p", 1.0), ("a", "1", "q", 2.0), ("a", "2", "q", 3.0), ("b", "1", "p", None), ("b", "1", "z", 4.0)],
+                                 "batch string, cell_id string, feature string, value double")
+    wide = wide_markers(long, ["p", "q"])
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in wide.collect()} == {("a", "1", 1.0, 2.0), ("a", "2", None, 3.0), ("b", "1", None, None)}
+
+
+def test_full_table_mixtures_shuffles_lines_once(spark, sf, monkeypatch):
+    """Every pass reads stored markers; no pass builds the wide table again."""
+    seen = []
+    fit = EM.fit_models
+    monkeypatch.setattr(EM, "fit_models", lambda df, *a, **k: seen.append(df) or fit(df, *a, **k))
+    assert QUERIES["full_table_mixtures"](spark, sf).count() == 8
+    assert len(seen) == 2 and all("Exchange" not in df._jdf.queryExecution().executedPlan().toString() for df in seen)
