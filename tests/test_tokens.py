@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from markertree.operators.normalize import depth_normalize
-from markertree.sources.tables import token_counts
+from markertree.operators.normalize import depth_normalize, log_transform
+from markertree.operators.qc import features_in_cells
+from markertree.sources.tables import document_expression, document_markers, token_counts
 
 
 def _documents(spark, folder):
@@ -22,3 +23,25 @@ def test_entries_are_counted_and_summed_by_cell_without_a_shuffle_of_entries(spa
     for df in (tokens, depth_normalize(tokens), tokens.groupBy("cell_id").agg(F.sum("value"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_expression_reads_stored_counts_instead_of_cutting_texts_again(spark, tmp_path):
+    rows = [(i, "s" if i % 2 else "t", f"common w{i % 2} w{i % 2}" if i else None) for i in range(25)] + [(1, "t", "common")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = document_expression(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange hash" not in plan
+    again = log_transform(depth_normalize(features_in_cells(token_counts(spark, str(tmp_path)), 10)))
+    assert sorted(found.select("cell_id", "feature", "value").collect()) == sorted(again.select("cell_id", "feature", "value").collect())
+    assert found.filter("feature = 'common'").count() == 25
+
+
+def test_shares_of_letters(spark, tmp_path):
+    rows = [(1, "en", "Eel é"), (2, "en", ""), (3, None, None), (4, "fr", "ÉÈ ono")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    marks = document_markers(spark, str(tmp_path))
+    plan = marks._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count(" replace(") + plan.count("(replace(") >= 4  # a letter is counted without a regular expression
+    found = {r["cell_id"]: r for r in marks.collect()}
+    assert (found["1"]["share_e"], found["1"]["share_accent"], found["2"]["share_e"]) == (2 / 5, 1 / 5, 0.0)
+    assert found["3"]["share_e"] is None and (found["4"]["share_o"], found["4"]["share_accent"]) == (2 / 6, 2 / 6)
