@@ -64,3 +64,22 @@ def test_mixture_split_only_for_two_components(spark):
     out = PP.split_projection_by_mixture(h, ["batch"])
     per = {r["batch"]: r["n"] for r in out.groupBy("batch").agg(F.count("side").alias("n")).collect()}
     assert per == {"two": 2000, "one": 0}
+
+
+def test_documents_are_packed_once(spark, sf, monkeypatch):
+    from markertree.plans import consensus as C
+    from markertree.plans import queries_models as Q
+
+    calls = []
+    once = lambda *a: calls.append(1) or pack_expression(*a)
+    monkeypatch.setattr(C, "pack_expression", once)
+    monkeypatch.setattr(Q, "pack_expression", once)
+    assert Q.consensus_leaf_cells(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert len(calls) == 1
+
+
+def test_rules_read_rows_without_python_objects(spark):
+    cells, long = three_batches(spark)
+    tree = grow_consensus(cells.drop("t"), ["m1", "m2", "m3"], long, child_cutoff=0.1)
+    plan = leaf_table(pack_expression(cells.drop("t"), long)[0], tree)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan

@@ -89,3 +89,37 @@ def test_more_than_200_000_features(spark):
     assert [n.path for n in tree.model.leaves()] == ["LL", "LR", "RL", "RR"]
     assert tree.weights_frame(spark).filter("feature like 'noise%'").count() == 0  # no batch shares them
     assert feature_dictionary(wide).filter("batches = 3").count() == 30
+
+
+def test_packed_moments_equal_numpy(spark):
+    """Rows with repeated, unselected and no entries; a node over several tasks."""
+    rng = np.random.default_rng(5)
+    rows, dense, sizes = [], {}, {}
+    for node, width in (("L", 40), ("R", 3)):
+        x, part = np.zeros((900, width)), np.array(["0L", "0R"])[rng.integers(0, 2, 900)]
+        for c in range(900):
+            j = rng.integers(0, width, c % 7)
+            v = rng.standard_normal(len(j))
+            np.add.at(x[c], j, v)
+            rows.append((node, str(part[c]), c, [int(k) * 5 for k in j] + [7], [*map(float, v), 9.0]))
+        dense[node] = (x, part)
+        sizes[node] = {p: int((part == p).sum()) for p in ("0L", "0R")}
+    packed = spark.createDataFrame(rows, "node string, part string, cell long, idx array<long>, val array<double>").repartition(5)
+    index = G.node_features(packed.select("node", F.explode("idx").alias("i")).filter("i <> 7"))
+
+    def solve(node, raw, sums):
+        return pd.DataFrame([(node, raw.ravel(), {p: (float(n), float(s.sum())) for p, (n, s) in sums.items()})], columns=["node", "raw", "sums"])
+
+    schema = "node string, raw array<double>, sums map<string,struct<n:double,s:double>>"
+    held, G.ROWS_PER_SALT = G.ROWS_PER_SALT, 200
+    try:
+        solution = G.solve_packed(packed, ["cell"], index, sizes, solve, schema)
+        plan = solution._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "Generate" not in plan  # tasks are not joined by bytes, cells move whole
+        found = {r["node"]: r for r in solution.collect()}
+    finally:
+        G.ROWS_PER_SALT = held
+    for node, (x, part) in dense.items():
+        assert np.allclose(np.reshape(found[node]["raw"], (x.shape[1],) * 2), x.T @ x)
+        for p in set(part):
+            assert found[node]["sums"][p]["s"] == pytest.approx(x[part == p].sum())
