@@ -79,3 +79,15 @@ def test_views_must_share_rows(spark):
     long = spark.createDataFrame([("a", 1, "f", 1.0), ("b", 2, "f", 1.0)], "view string, row long, feature string, value double")
     with pytest.raises(ValueError):
         W.align_wide_views(long, ["a", "b"], 1)
+
+
+def test_rounds_move_ids_and_refuse_a_clash(narrow, monkeypatch):
+    _, _, long = narrow
+    stored, keep = [], W.materialize
+    monkeypatch.setattr(W, "materialize", lambda df: stored.append(df.columns) or keep(df))
+    found = W.align_wide_views(long, ["a", "b", "c"], 2, rounds=2)
+    assert sorted(found.weights.columns) == ["feature", "view", "w"] and found.weights.count() == 18
+    assert [c for c in stored if "feature" in c] == [["view", "row", "feature", "value"], ["id", "view", "feature", "d"]]
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(1).cast("long"))
+    with pytest.raises(ValueError, match="same 64-bit hash"):
+        W.align_wide_views(long, ["a", "b", "c"], 2, rounds=1)
