@@ -8,7 +8,9 @@ take their places by rank within their length, in Spark, with ranks summed over
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from markertree.llm.common import chunks, texts
 from markertree.session import materialize
@@ -27,33 +30,69 @@ from markertree.session import materialize
 CAPACITY = 2048
 SALTS = 256
 """Parts into which the documents of one length are dealt to be ranked."""
-CACHED_PIECES = 1 << 20
+CACHED_RUNS = 1 << 17
+"""Runs that a generation of ``Ids`` holds."""
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+"""A splitting pattern whose matches never go on from other characters into white space, nor from letters into marks: texts
+may be cut there without changing a match."""
+SPACE, LETTERS, MARKS = r"[^\S\x1c-\x1f]", r"[A-Za-zÀ-ÖØ-öø-ÿ]", r"[ \n!-&(-/:-@\[-`{-~]"
+"""The four separators that only ``re`` takes for white space belong to words; the apostrophe, which begins contractions, is no mark."""
+RUNS = re.compile(rf"{SPACE}*{LETTERS}+(?={MARKS}|\Z)|{SPACE}*[\S\x1c-\x1f]+|{SPACE}+").findall
+"""White space with the letters, or else the whole word, behind it."""
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {**{b: b for b in shown}, **{b: 256 + i for i, b in enumerate(hidden)}}
+
+
+class Ids(dict):
+    """Ids of the runs met so far. What is not met while a generation fills up is forgotten with the next."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.before = encode, {}
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.before.get(run) or self.encode(run)
+        if len(self) >= CACHED_RUNS:
+            self.before = self.copy()
+            self.clear()
+        self[run] = ids
+        return ids
 
 
 class PieceTokenizer:
-    """A byte-level tokenizer run on the distinct pieces of its own splitting pattern, each once per task."""
+    """A byte-level tokenizer run on the distinct runs of its texts, each once while it is remembered.
+
+    Runs are those of ``RUNS`` for ``BYTE_LEVEL``, else the matches of the tokenizer's own splitting pattern.
+    """
 
     def __init__(self, path: str, pattern: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.letters, self.model = regex.compile(pattern).findall, byte_letters(), self.tokenizer.model
+        first = self.tokenizer.pre_tokenizer
+        plain = (pattern == BYTE_LEVEL and self.tokenizer.normalizer is None and isinstance(first, ByteLevel)
+                 and first.use_regex and not first.add_prefix_space)
+        self.split = RUNS if plain else self.pieces
+        self.known = Ids(self._run_ids if plain else self._ids)
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _ids(self, texts_: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+    def _run_ids(self, run: str) -> bytes:
+        """The same without the tokenizer's own splitting, which costs more than a short run's merges."""
+        pieces = (run,) if run[run[0] == " ":].isalpha() and run.isascii() else self.pieces(run)
+        return array("I", [token.id for piece in pieces for token in self.model.tokenize(
+            piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit numbers; what the tokenizer gives for the whole text."""
-        plain = [not any(s in t for s in self.special) for t in batch]
-        pieces = [self.split(t) if p else () for t, p in zip(batch, plain)]
-        new = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.known.clear()
-            new = list(set().union(*pieces))
-        for at in range(0, len(new), 65536):
-            self.known.update(zip(new[at:at + 65536], self._ids(new[at:at + 65536])))
         known = self.known.__getitem__
-        return [b"".join(map(known, p)) if ok else self._ids([t])[0] for p, ok, t in zip(pieces, plain, batch)]
+        return [self._ids(t) if any(s in t for s in self.special) else b"".join(map(known, self.split(t))) for t in batch]
 
 
 @lru_cache(maxsize=4)

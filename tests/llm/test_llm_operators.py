@@ -148,6 +148,19 @@ def test_packing_places_every_id_once(docs):
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(slots), sorted(slots)[1:])) and min(slots)[0] == 0
 
 
+def test_packing_tokenizer_is_exact_and_bounded(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "CACHED_RUNS", 16)
+    coder, plain = packing.PieceTokenizer(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    assert coder.split is packing.RUNS
+    signs = ["a", "don't", "We'll,", "'re", "é", "ß!", "x_1", "12", "...", "—!", " ", "  ", "\n", "\n\n ", "\t", "\x1c", "\x1f", "\u00a0",
+             "\u2028", "\u3000", "日本", "٣", "²", "🙂", "e\u0301", "<|endoftext|>", "\0"]
+    r = random.Random(4)
+    texts = ["", *("".join(r.choices(signs, k=r.randint(1, 60))) for _ in range(1500)), " ".join(f"w{chr(97 + i % 26)}{i}" for i in range(500))]
+    assert coder.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(coder.known) <= 16 and len(coder.known.before) <= 16
+
+
 def test_packing_plan_uses_counts():
     r = random.Random(1)
     for _ in range(100):
