@@ -34,7 +34,7 @@ of terms tested, so that chance puts about one term into the lexicon at any size
 PREFIXES = range(4, 9)
 WINDOW = 6
 """Words on either side that a hit is judged by."""
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
 MISSPELLED = 0.8
 """Share of its weight that a term keeps for each edit."""
 

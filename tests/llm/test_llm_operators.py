@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -345,3 +346,11 @@ def test_passages_that_repeat_a_later_document_are_found(spark):
     shingles = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for _, w in rows]
     assert all(len(shingles[x.doc_id] & shingles[x.source_doc_id]) >= 41 for x in found)
     assert {x.doc_id for x in found} == want
+
+
+def test_rows_are_cut_in_small_batches():
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": list(range(42)), "text": ["word " * 20_000] * 40 + [None, "as it is"], "_cuts": [[{"start_word": 0, "end_word": 19_999}]] * 41 + [None]})
+    found = list(substring._cut(iter([batch])))
+    assert max(b.num_rows for b in found) <= 12  # 1 MB of text, not the whole batch
+    assert pa.Table.from_batches(found).to_pydict() == {"doc_id": list(range(42)), "text": ["word "] * 40 + [None, "as it is"]}
