@@ -80,13 +80,41 @@ def adjusted_mutual_info(table: DataFrame) -> DataFrame:
     )
 
 
-def group_distances(df: DataFrame, node: str, group: str, id_: str, array: str, chunk: int = 1024, share: float = 1.0) -> DataFrame:
+def distance_sum(a, b, cells: int = 4_000_000):
+    """(sum of the Euclidean distances of all rows of ``a`` to all rows of ``b``, their number), at most ``cells`` numbers at a time.
+
+    Squares come from products of matrices. Where rows are so close that this loses digits (or not finite), their differences are taken.
+    """
+    import numpy as np
+
+    if not len(a) or not len(b):
+        return 0.0, 0
+    middle = np.nan_to_num(b.mean(axis=0), nan=0.0, posinf=0.0, neginf=0.0)
+    with np.errstate(invalid="ignore", over="ignore"):
+        a, b = a - middle, b - middle
+        a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        total, step, few = 0.0, max(1, cells // len(b)), max(1, cells // a.shape[1])
+        for at in range(0, len(a), step):
+            part = a[at:at + step]
+            both = a2[at:at + step, None] + b2
+            square = both - 2.0 * (part @ b.T)
+            i, j = np.nonzero(~(square > 1e-6 * both))
+            for k in range(0, len(i), few):
+                u, v = i[k:k + few], j[k:k + few]
+                square[u, v] = ((part[u] - b[v]) ** 2).sum(axis=1)
+            total += np.sqrt(square).sum()
+    return total, len(a) * len(b)
+
+
+def group_distances(df: DataFrame, node: str, group: str, id_: str, array: str, chunk: int = 4096, share: float = 1.0,
+                    wanted: list[tuple[str, str]] | None = None) -> DataFrame:
     """(node, a, b, pairs, distance, error): mean Euclidean distance between the groups of each node, a <= b by name.
 
     Within a group all ordered pairs count, a row with itself included, as a full distance matrix does. A node's rows are dealt
     by hash into parts of about ``chunk`` rows, and every two parts meet in one task as matrices; only sums come out. The
     work is the square of a node's rows. ``share`` < 1 takes that part of the meetings, chosen by hash: the mean
     is then an estimate from whole random parts, and ``error`` its standard error (0 when exact, null for a single meeting).
+    ``wanted`` names the pairs (a, b) of groups to measure; all by default.
     """
     import numpy as np
     import pandas as pd
@@ -110,13 +138,10 @@ def group_distances(df: DataFrame, node: str, group: str, id_: str, array: str,
         names, code = np.unique(g.astype(str), return_inverse=True)
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         total, count = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
-        hot = np.eye(len(names))[code[right]]
-        step = max(1, 4_000_000 // max(1, x.shape[1] * len(right)))
-        for at in range(0, len(left), step):
-            i = left[at:at + step]
-            d = np.sqrt(((x[i][:, None, :] - x[right][None, :, :]) ** 2).sum(axis=2))
-            np.add.at(total, code[i], d @ hot)
-            np.add.at(count, code[i], np.broadcast_to(hot.sum(axis=0), (len(i), len(names))))
+        for i, j in np.ndindex(total.shape):
+            if (lo == hi and i > j) or (wanted is not None and (names[min(i, j)], names[max(i, j)]) not in wanted):
+                continue
+            total[i, j], count[i, j] = distance_sum(x[left[code[left] == i]], x[right[code[right] == j]])
         if lo != hi:  # the other order of the two parts
             total, count = total + total.T, count + count.T
         out = [(key[0], a, b, total[i, j], count[i, j]) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j and count[i, j]]
@@ -151,7 +176,8 @@ def nested_separation(df: DataFrame, node: str, quarter: str, array: str, id_: s
     ``quarter`` holds LL, LR, RL or RR (side, then the child's side). For the left child ``inner`` is the mean distance LL-LR and
     ``outer`` that of LL to all of R; for the right child RL-RR and RR to all of L. ``shortfall`` is relu(inner - outer + margin).
     """
-    d = group_distances(df.filter(F.col(quarter).isin("LL", "LR", "RL", "RR")), node, quarter, id_, array, **options)
+    used = [("LL", "LR"), ("LL", "RL"), ("LL", "RR"), ("RL", "RR"), ("LR", "RR")]
+    d = group_distances(df.filter(F.col(quarter).isin("LL", "LR", "RL", "RR")), node, quarter, id_, array, wanted=used, **options)
     pick = lambda a, b, c: F.sum(F.when((F.col("a") == a) & (F.col("b") == b), F.col(c)))
     mean = lambda pairs: sum((pick(a, b, "pairs") * pick(a, b, "distance") for a, b in pairs[1:]), pick(*pairs[0], "pairs") * pick(*pairs[0], "distance")) / (
         sum((pick(a, b, "pairs") for a, b in pairs[1:]), pick(*pairs[0], "pairs")))

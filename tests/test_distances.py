@@ -43,3 +43,25 @@ def test_estimate_lies_within_its_error(points):
 def test_share_is_checked(points):
     with pytest.raises(ValueError):
         E.group_distances(points[3], "node", "side", "id", "x", share=0)
+
+
+def test_products_keep_the_digits_of_close_and_odd_rows():
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((400, 64)) + 1e4
+    b = np.concatenate([a[:300], a[:50] + 1e-6, rng.standard_normal((80, 64))])  # copies, near copies and far rows
+    want = sum(np.sqrt(((row - b) ** 2).sum(axis=1)).sum() for row in a)
+    total, n = E.distance_sum(a, b, cells=5000)
+    assert n == 400 * 430 and abs(total / want - 1) < 1e-9
+    copies, n = E.distance_sum(np.tile(a[:1], (90, 1)), np.tile(a[:1], (70, 1)), cells=1000)
+    assert (copies, n) == (0.0, 6300)
+    odd = np.array([[np.inf, 0.0]])
+    assert E.distance_sum(odd, np.zeros((3, 2)))[0] == np.inf and E.distance_sum(np.zeros((3, 2)), odd)[0] == np.inf
+    assert np.isnan(E.distance_sum(np.array([[np.nan, 0.0]]), np.zeros((2, 2)))[0]) and E.distance_sum(a[:0], b) == (0.0, 0)
+
+
+def test_only_wanted_groups_are_measured(points):
+    _, _, _, table = points
+    args = ("node", "side", "id", "x")
+    every = {(r["node"], r["a"], r["b"]): (r["pairs"], r["distance"]) for r in E.group_distances(table, *args, chunk=8).collect()}
+    some = {(r["node"], r["a"], r["b"]): (r["pairs"], r["distance"]) for r in E.group_distances(table, *args, chunk=8, wanted=[("L", "R")]).collect()}
+    assert some == {k: (n, pytest.approx(d)) for k, (n, d) in every.items() if k[1:] == ("L", "R")} and len(some) == 2
