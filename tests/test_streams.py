@@ -65,3 +65,17 @@ def test_windows_close_once_and_late_rows_are_counted_until_then(spark, tmp_path
     assert drain() == [(1, "a", "L", 2)]
     spark.createDataFrame([("b", day(9), "R")], schema).coalesce(1).write.mode("append").parquet(source)
     assert drain() == [(1, "a", "L", 2), (2, "b", "R", 2), (3, "b", "R", 1), (4, "a", "R", 2)]
+
+
+def test_label_projections_are_per_document(spark):
+    from markertree.plans.queries_models import label_directions, project_labels
+
+    long = spark.createDataFrame(
+        [("a", "x", 2.0, "de"), ("a", "y", 1.0, "de"), ("b", "x", 1.0, "de"), ("c", "z", 5.0, "es")], "cell_id string, feature string, value double, batch string")
+    training = spark.createDataFrame(
+        [("a", "de", 1, 0), ("b", "de", 0, 1), ("b", "de", 0, 1), ("d", "fr", 0, 1)], "cell_id string, batch string, toxic int, quality int")
+    chosen = label_directions(long, training, ("toxic", "quality"))
+    assert {r["feature"]: r["w"] for r in chosen["toxic"].collect()} == {"x": 1.0 * 3 - 2 * 1, "y": 3.0}
+    assert {r["feature"]: r["w"] for r in chosen["quality"].collect()} == {"x": 2.0 * 1 - 1 * 3, "y": -3.0}
+    found = sorted((r["cell_id"], r["h_toxic"], r["h_quality"]) for r in project_labels(training, long, chosen).collect())
+    assert found == [("a", 5.0, -5.0), ("b", 1.0, -1.0), ("b", 1.0, -1.0), ("d", 0.0, 0.0)]
