@@ -10,8 +10,8 @@ learning, a 6-gram's own occurrence is taken out of its counts. A text's score i
 from __future__ import annotations
 
 import math
+import sys
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,45 +39,75 @@ LOGIT_STEPS = 33
 FREQUENT_WORDS = 1 << 20
 """Bound on the word counts that are broadcast; other words meet their counts in a join."""
 WORD_FLAG = 1 << 62
+HIGH_HALF = slice(sys.byteorder == "little", None, 2)
+"""Where the high halves of 64-bit numbers lie among 32-bit ones."""
 CACHE_BITS = 20
+LONG_WORD = 256
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 CHUNK = 1 << 18
 """Bytes of text that a task works on at once."""
 MOST = 65_535
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
+UNSPREAD = np.uint64(pow(int(SPREAD), -1, 1 << 64))
+NODE = np.uint64(0xC2B2AE3D27D4EB4F * 0xD6E8FEB86659FD93 % (1 << 64))
+MIXED_BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), 42) for b in range(256)], np.uint64)
 
 
-def word_key(word: bytes) -> int:
-    """62 bits of a word's hash, flagged apart from 6-grams (48 bits); the end token is the empty word."""
-    return (xxhash.xxh64_intdigest(word, 42) >> 2) | WORD_FLAG
+def word_keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words of each text, the end token (WORD_FLAG itself) after them, and tokens in each text.
+
+    A key is 62 bits of a word's hash, flagged apart from 6-grams (48 bits): a polynomial in mixed bytes, taken from running sums.
+    """
+    joined = b"\n".join([*raw, b""])
+    data = np.frombuffer(joined, np.uint8)
+    space = np.concatenate((np.ones(1, bool), IS_SPACE[data]))
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    up, down = (np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(data), m)))) for m in (SPREAD, UNSPREAD))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(MIXED_BYTE[data] * up[:-1])))
+    h = (sums[end] - sums[start]) * down[start]
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():  # such polynomials meet for some very long words
+        h[i] = xxhash.xxh64_intdigest(joined[start[i]:end[i]], 42)
+    words = np.searchsorted(start, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1))
+    keys = np.insert((h >> np.uint64(2) | np.uint64(WORD_FLAG)).view(np.int64), words, WORD_FLAG)
+    return keys, np.diff(words, prepend=0) + 1
 
 
 def ngrams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The 6-gram at every byte of each text and its end byte: nearest context byte highest, the byte itself lowest."""
     size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    joined = np.frombuffer(b"".join(b"\0" * ORDER + r + b"\0" for r in raw), np.uint8).astype(np.uint64)
+    joined = b"".join([*(b"\0" * ORDER + r + b"\0" for r in raw), b"\0\0"])
     starts = np.cumsum(size + ORDER) - size
     at = np.ones(int(size.sum()), np.int64)
     at[np.cumsum(size)[:-1]] = ORDER + 1
-    at[0] = starts[0]
-    at = np.cumsum(at)
-    g = joined[at].copy()
-    for k in range(1, ORDER + 1):
-        g |= joined[at - k] << np.uint64(8 * (ORDER + 1 - k))
+    at[0] = starts[0] - ORDER
+    # eight bytes from the farthest context byte on, at any place: the sixth is the byte itself
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))[np.cumsum(at)]
+    g = (eight & np.uint64((1 << 8 * ORDER) - 1)) << np.uint64(8) | eight >> np.uint64(8 * ORDER) & np.uint64(255)
     return g, size
 
 
-def slots(g: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each bit of the byte: its number, its value, and the slots and check bytes of all orders (one row an order)."""
-    sym = g & np.uint64(255)
-    contexts = []
+def hashed_contexts(g: np.ndarray) -> list[np.ndarray]:
+    """For each order the hash of the context; with NODE times the bits so far added, that of a bit's place."""
+    out = []
     for k in range(ORDER + 1):
         c = (g >> np.uint64(8 * (ORDER + 1 - k))) if k else np.zeros_like(g)
         c = (c + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        contexts.append(c ^ c >> np.uint64(29))
+        out.append((c ^ c >> np.uint64(29)) * SPREAD)
+    return out
+
+
+def slots(g: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit of the byte: its number, its value, and the slots and check bytes of all orders (one row an order)."""
+    sym = g & np.uint64(255)
+    contexts = hashed_contexts(g)
     for j in range(8):
-        node = (sym | np.uint64(256)) >> np.uint64(8 - j)
+        node = ((sym | np.uint64(256)) >> np.uint64(8 - j)) * NODE
         out, check = np.empty((ORDER + 1, len(g)), np.int64), np.empty((ORDER + 1, len(g)), np.uint8)
         for k, c in enumerate(contexts):
-            h = (c + node * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+            h = c + node
             out[k] = BASE[k] + (h >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64)
             check[k] = (h >> np.uint64(8)).astype(np.uint8)
         yield j, (sym >> np.uint64(7 - j) & np.uint64(1)).astype(np.int64), out, check
@@ -85,12 +115,14 @@ def slots(g: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    zeros: np.ndarray
-    ones: np.ndarray
-    checks: np.ndarray
+    zeros: np.ndarray | None
+    ones: np.ndarray | None
+    checks: np.ndarray | None
     weights: np.ndarray
     refined: np.ndarray
     """Probability of a one for each (bits so far, step of the mixed logit)."""
+    packed: np.ndarray | None = None
+    """``packed_slots`` of the tables, all that scoring reads; made when first scored, if not given."""
 
     def inputs(self, at: np.ndarray, check: np.ndarray, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions and a constant (rows), and how well the two longest contexts are known; ``bit``: leave one out."""
@@ -119,17 +151,45 @@ class Model:
 
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 of the probability of each 6-gram's last byte."""
-        total = np.zeros(len(g))
-        for j, bit, at, check in slots(g):
-            x, known = self.inputs(at, check)
-            logit = self.mixed(x, j * 49 + known)
-            node = ((g & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - j)).astype(np.int64)
-            p = self.refine(logit, node)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
-
-
-_UNPACKED: dict[int, tuple[np.ndarray, ...]] = {}
+        if self.packed is None:
+            self.packed = packed_slots(self.zeros, self.ones, self.checks)
+        contexts, by_input = hashed_contexts(g), np.ascontiguousarray(self.weights.T)
+        whole = g & np.uint64(255) | np.uint64(256)
+        product = np.ones(len(g))
+        for j in range(8):
+            node = whole >> np.uint64(8 - j)
+            step = node * NODE
+            xs, level = [], []
+            for k, c in enumerate(contexts):
+                h = c + step
+                slot = self.packed[BASE[k]:BASE[k + 1]][(h >> np.uint64(64 - TABLE_BITS[k])).view(np.int64)]
+                # a slot of another context is as an empty one
+                slot *= (slot ^ h >> np.uint64(8)) & np.uint64(255) == 0
+                xs.append(slot.view(np.float32)[HIGH_HALF])
+                if k >= ORDER - 1:
+                    level.append((slot >> np.uint64(8) & np.uint64(255)).view(np.int64))
+            gate = j * 49 + level[1] * 7 + level[0]
+            logit = np.float32(0.3) * by_input[-1][gate]
+            for x, w in zip(xs, by_input):
+                logit += x * w[gate]
+            p = self.refine(np.clip(logit, -12, 12), node.view(np.int64))
+            product *= np.where((whole >> np.uint64(7 - j) & np.uint64(1)).astype(bool), p, 1 - p)
+        return np.log10(product)  # eight factors of at least 1e-6
+
+
+def packed_slots(zeros: np.ndarray, ones: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """What scoring reads of each slot in one number: the stretched prediction (high 32 bits), how well it is known, its check byte."""
+    out = np.empty(len(checks), np.uint64)
+    for at in range(0, len(out), 1 << 20):
+        part = slice(at, at + (1 << 20))
+        n0, n1 = zeros[part].astype(np.float32), ones[part].astype(np.float32)
+        x = np.log((n1 + 0.2) / (n0 + 0.2))
+        level = np.searchsorted(LEVELS, n0 + n1, "right").astype(np.uint64)
+        out[part] = x.view(np.uint32).astype(np.uint64) << np.uint64(32) | level << np.uint64(8) | checks[part]
+    return out
+
+
+_UNPACKED: dict[tuple[int, bool], tuple[np.ndarray, ...]] = {}
 """A worker's copy of the newest tables, by broadcast."""
 
 
@@ -138,12 +198,15 @@ def pack_tables(*arrays: np.ndarray) -> list[tuple[bytes, str]]:
     return [(zlib.compress(a.tobytes(), 1), a.dtype.str) for a in arrays]
 
 
-def unpacked(shared) -> tuple[np.ndarray, ...]:
+def unpacked(shared, for_scoring: bool = False) -> tuple[np.ndarray, ...]:
+    """The tables of a broadcast, or their ``packed_slots`` alone; a worker holds one of both."""
     packed = shared.value
-    if id(packed) not in _UNPACKED:
+    name = id(packed), for_scoring
+    if name not in _UNPACKED:
         _UNPACKED.clear()
-        _UNPACKED[id(packed)] = tuple(np.frombuffer(zlib.decompress(raw), kind) for raw, kind in packed)
-    return _UNPACKED[id(packed)]
+        tables = tuple(np.frombuffer(zlib.decompress(raw), kind) for raw, kind in packed)
+        _UNPACKED[name] = (packed_slots(*tables),) if for_scoring else tables
+    return _UNPACKED[name]
 
 
 def _lowered(text: str) -> bytes:
@@ -151,40 +214,34 @@ def _lowered(text: str) -> bytes:
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of sorted runs of counts."""
     k, c = np.concatenate(keys), np.concatenate(counts)
-    u, back = np.unique(k, return_inverse=True)
-    return u, np.bincount(back, weights=c, minlength=len(u)).astype(np.int64)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
+    return k[first], np.add.reduceat(c, first) if len(c) else c
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n) of words and 6-grams, summed over a partition as far as memory allows."""
     def out(keys, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
-    words: Counter = Counter()
-    keys, counts = [], []
+    held = {"words": ([], [], 400_000), "grams": ([], [], 1_200_000)}
     for batch in chunks(batches, CHUNK):
         raw = [_lowered(t) for t in batch.column("text").to_pylist()]
-        for r in raw:
-            words.update(r.split())
-        words[b""] += len(raw)
-        g, _ = ngrams(raw)
-        u, n = np.unique(g, return_counts=True)
-        keys.append(u), counts.append(n)
-        if sum(map(len, keys)) > 1_500_000:
-            u, n = _merge(keys, counts)
-            keys, counts = [u], [n]
-            if len(u) > 1_200_000:
-                yield out(u.view(np.int64), n)
-                keys, counts = [], []
-        if len(words) > 400_000:
-            yield out([word_key(w) for w in words], list(words.values()))
-            words = Counter()
-    if words:
-        yield out([word_key(w) for w in words], list(words.values()))
-    if keys:
-        u, n = _merge(keys, counts)
-        yield out(u.view(np.int64), n)
+        for (keys, counts, most), found in zip(held.values(), (word_keys(raw)[0], ngrams(raw)[0])):
+            u, n = np.unique(found, return_counts=True)
+            keys.append(u), counts.append(n)
+            if sum(map(len, keys)) > most + 300_000:
+                u, n = _merge(keys, counts)
+                keys[:], counts[:] = [u], [n]
+                if len(u) > most:
+                    yield out(u, n)
+                    keys.clear(), counts.clear()
+    for keys, counts, _ in held.values():
+        if keys:
+            yield out(*_merge(keys, counts))
 
 
 def corpus_counts(training: DataFrame) -> DataFrame:
@@ -326,36 +383,33 @@ class Scorer:
         return np.add.reduceat(out, np.cumsum(size) - size)
 
 
+def _lists(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each row its distinct keys and how often it has them."""
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
+    ends = pa.array(np.searchsorted(row[first], np.arange(rows + 1)).astype(np.int32))
+    times = np.diff(np.append(first, len(key)))
+    return pa.ListArray.from_arrays(ends, pa.array(key[first], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))
+
+
 def _score(tables, weights: np.ndarray, refined: np.ndarray, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, denominator = frequent.value
-        scorer = Scorer(Model(*unpacked(tables), weights, refined))
+        scorer = Scorer(Model(None, None, None, weights, refined, *unpacked(tables, for_scoring=True)))
         for batch in chunks(batches, CHUNK):
             raw = [_lowered(t) for t in batch.column("text").to_pylist()]
             total = scorer.log10(raw)
-            words = [Counter(r.split()) for r in raw]
-            every = list(set().union(*words)) if words else []
-            key = np.fromiter(map(word_key, [*every, b""]), np.int64, len(every) + 1)
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            c = np.where(found, counts[at] if len(keys) else 0, -1)
-            known = {w: (k, n) for w, k, n in zip([*every, b""], key.tolist(), c.tolist())}
-            n_tokens, n_known, base, rare, rare_n = [], [], [], [], []
-            for r in words:
-                r[b""] += 1
-                s, m, ks, ns = 0.0, 0, [], []
-                for w, n in r.items():
-                    k, count = known[w]
-                    if count < 0:
-                        ks.append(k), ns.append(n)
-                    else:
-                        s += n * math.log10((count + 1) / denominator)
-                        m += n
-                n_tokens.append(sum(r.values())), n_known.append(m), base.append(s), rare.append(ks), rare_n.append(ns)
+            key, size = word_keys(raw)
+            u, back = np.unique(key, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
+            c = np.where(keys[at] == u, counts[at], -1)[back] if len(keys) else np.full(len(key), -1)
+            starts, apart = np.cumsum(size) - size, c < 0
+            base = np.add.reduceat(np.where(apart, 0.0, np.log10((c + 1 + apart) / denominator)), starts)
+            rare, rare_n = _lists(np.repeat(np.arange(len(raw)), size)[apart], key[apart], len(raw))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                pa.array(base, pa.float64()), pa.array([len(r) for r in raw], pa.int64()), pa.array(total),
-                pa.array(rare, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64()))],
+                batch.column("doc_id"), batch.column("row"), pa.array(size), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
+                pa.array(base), pa.array([len(r) for r in raw], pa.int64()), pa.array(total), rare, rare_n],
                 ["doc_id", "row", "n_tokens", "n_known", "base", "n_bytes", "score", "rare", "rare_n"])
     return run
 

@@ -354,3 +354,31 @@ def test_rows_are_cut_in_small_batches():
     found = list(substring._cut(iter([batch])))
     assert max(b.num_rows for b in found) <= 12  # 1 MB of text, not the whole batch
     assert pa.Table.from_batches(found).to_pydict() == {"doc_id": list(range(42)), "text": ["word "] * 40 + [None, "as it is"]}
+
+
+def test_packed_slots_score_as_the_tables_do():
+    r = np.random.default_rng(3)
+    zeros, ones = (r.integers(0, 300, lm.SLOTS).astype(np.uint16) for _ in range(2))
+    g, _ = lm.ngrams([bytes(r.integers(97, 123, 3000, dtype=np.uint8).tolist()), b"", b"a"])
+    checks = r.integers(0, 256, lm.SLOTS).astype(np.uint8)
+    for j, _, at, check in lm.slots(g[:2000]):
+        checks[at] = check
+    refined = r.uniform(0.1, 0.9, (256, lm.LOGIT_STEPS))
+    weights = r.normal(size=(lm.GATES, lm.INPUTS)) / 4
+    model = lm.Model(zeros, ones, checks, weights, refined)
+    plain = np.zeros(len(g))
+    for j, bit, at, check in lm.slots(g):
+        x, known = model.inputs(at, check)
+        node = ((g & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - j)).astype(np.int64)
+        p = model.refine(model.mixed(x, j * 49 + known), node)
+        plain += np.log10(np.where(bit == 1, p, 1 - p))
+    packed = lm.Model(None, None, None, weights, refined, lm.packed_slots(zeros, ones, checks))
+    assert np.allclose(packed.log10(g), plain, rtol=1e-12, atol=0)
+
+
+def test_words_of_texts_have_the_keys_of_their_bytes():
+    raw = [b"", b" a\x0bb\x1fc ", b"\n\n", b"e" * 3000 + b" f", b"f a a", b"ab ba"]
+    keys, size = lm.word_keys(raw)
+    assert size.tolist() == [1, 3, 1, 3, 4, 3] and (keys[np.cumsum(size) - 1] == lm.WORD_FLAG).all()
+    words_ = [w for r in raw for w in [*r.split(), b""]]
+    assert len(set(zip(words_, keys.tolist()))) == len(set(words_)) == len(set(keys.tolist()))
