@@ -382,3 +382,11 @@ def test_words_of_texts_have_the_keys_of_their_bytes():
     assert size.tolist() == [1, 3, 1, 3, 4, 3] and (keys[np.cumsum(size) - 1] == lm.WORD_FLAG).all()
     words_ = [w for r in raw for w in [*r.split(), b""]]
     assert len(set(zip(words_, keys.tolist()))) == len(set(words_)) == len(set(keys.tolist()))
+
+
+def test_a_common_line_brings_no_texts_together(spark):
+    r = random.Random(16)
+    line = random_words(r, 16)
+    rows = [(i, " ".join(random_words(r, 60) + line + random_words(r, 60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring.occurrences(docs, substring.LEAST_WORDS - substring.SHINGLE + 1, substring.SIMILARITY).count() == 0
