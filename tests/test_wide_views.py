@@ -91,3 +91,28 @@ def test_rounds_move_ids_and_refuse_a_clash(narrow, monkeypatch):
     monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(1).cast("long"))
     with pytest.raises(ValueError, match="same 64-bit hash"):
         W.align_wide_views(long, ["a", "b", "c"], 2, rounds=1)
+
+
+def test_groups_and_parts_change_nothing_and_entries_stay_in_place(narrow, spark, monkeypatch):
+    _, _, long = narrow
+    whole = W.align_wide_views(long, ["a", "b", "c"], 2, rounds=5)
+    known = {(r["view"], r["feature"]): r["w"] for r in whole.weights.collect()}
+    stored, buckets, keep, deal = [], [], W.materialize, W._bucketed
+    monkeypatch.setattr(W, "materialize", lambda df: stored.append(df.columns) or keep(df))
+    monkeypatch.setattr(W, "_bucketed", lambda *a: buckets.append(deal(*a)) or buckets[-1])
+    monkeypatch.setattr(W, "LEAST_GROUP", 4)
+    found = W.align_wide_views(long, ["a", "b", "c"], 2, rounds=5)
+    assert found.objective == pytest.approx(whole.objective, rel=1e-8)
+    for r in found.weights.collect():
+        assert np.allclose(r["w"], known[r["view"], r["feature"]], atol=1e-4)
+    # an entry has no row of its own in what a round reads
+    assert not any({"row", "value"} <= set(c) and "feature" not in c for c in stored) and len(buckets) == 6
+    assert not any(spark.catalog.tableExists(b._name) for b in buckets)
+
+
+def test_rounds_read_buckets_without_a_shuffle(spark):
+    entries = W._bucketed(spark.range(100).select(F.pmod("id", F.lit(5)).cast("int").alias("group"), "id"), "group", 8)
+    pair = entries.groupBy("group").cogroup(spark.range(5).select(F.col("id").cast("int").alias("group")).groupBy("group"))
+    plan = pair.applyInArrow(lambda a, b: a, "group int, id long")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    W._drop(entries)
