@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markertree.operators.select import extreme_features, top_per_group
-from markertree.session import attach_row
+from markertree.session import attach_row, lookup, sized
 
 
 def welch_scores(long: DataFrame, groups: DataFrame, cell: list[str] = ("cell_id",), by: list[str] = ()) -> DataFrame:
@@ -18,9 +18,10 @@ def welch_scores(long: DataFrame, groups: DataFrame, cell: list[str] = ("cell_id
     by = list(by)
     # the group table may carry keys (a node, say) that the value table lacks, and the other way round
     on = [*cell, *[k for k in by if k in long.columns and k in groups.columns]]
-    tagged = long.join(groups, on)
-    part = tagged.groupBy(*by, "feature", "group").agg(
-        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    tagged = long.join(lookup(groups), on)
+    # read twice below; stored, so that the entries are summed once
+    part = sized(tagged.groupBy(*by, "feature", "group").agg(
+        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")))
     sizes = groups.groupBy(*by, "group").agg(F.count(F.lit(1)).alias("n"))
     totals = sizes.groupBy(*by).agg(F.sum("n").alias("n_all")) if by else sizes.agg(F.sum("n").alias("n_all"))
     sizes = sizes.join(totals, by) if by else attach_row(sizes, totals)

@@ -45,3 +45,32 @@ def test_shares_of_letters(spark, tmp_path):
     found = {r["cell_id"]: r for r in marks.collect()}
     assert (found["1"]["share_e"], found["1"]["share_accent"], found["2"]["share_e"]) == (2 / 5, 1 / 5, 0.0)
     assert found["3"]["share_e"] is None and (found["4"]["share_o"], found["4"]["share_accent"]) == (2 / 6, 2 / 6)
+
+
+def test_entries_stay_in_place_for_tables_of_cells_and_features(spark, monkeypatch):
+    """Above the session's threshold too, a table measured to be small is sent to the entries; a larger one is joined with the same result."""
+    from markertree import session
+    from markertree.operators.features import welch_scores
+    from markertree.operators.linear import pls_weights_sparse
+    from markertree.operators.normalize import scale_to_depth
+    from markertree.operators.qc import features_in_cells
+
+    long = session.materialize(spark.range(400).select(
+        F.lit("b").alias("batch"), (F.col("id") % 40).cast("string").alias("cell_id"), F.concat(F.lit("f"), F.col("id") % 13).alias("feature"),
+        (F.col("id") % 5).cast("double").alias("value")).dropDuplicates(["cell_id", "feature"]))
+    cells = long.select("batch", "cell_id").distinct().select("*", F.col("cell_id").cast("double").alias("y"), (F.col("cell_id") % 2).alias("group"))
+    found = lambda: [scale_to_depth(long), features_in_cells(long, 2), pls_weights_sparse(long, cells.select("batch", "cell_id", "y"), ["batch"]),
+                     welch_scores(long, cells.select("batch", "cell_id", "group"), by=["batch"])]
+    rows = lambda dfs: [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()) for df in dfs]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        sent = found()
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in sent]
+        assert all("BroadcastHashJoin" in p for p in plans[:3]) and not any("SortMergeJoin" in p for p in plans[:2])
+        monkeypatch.setattr(session, "LOOKUP_ROWS", 0)
+        joined = found()
+        assert "SortMergeJoin" in joined[0]._jdf.queryExecution().executedPlan().toString()
+        assert rows(sent) == rows(joined) and all(rows(sent))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
