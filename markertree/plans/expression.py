@@ -21,7 +21,7 @@ from markertree.operators.profiles import PROFILES, Profile
 from markertree.operators.quantiles import exact_quantiles
 from markertree.operators.scan import group_limits, pair_candidates, scan_markers, scan_pairs
 from markertree.plans.tree import Tree, rule_from_record
-from markertree.session import bounded_rows, discard, materialize
+from markertree.session import bounded_rows, discard, lookup, materialize
 
 
 @dataclass
@@ -456,7 +456,7 @@ def expression_veto(long: DataFrame, genes_per_side: int | None = None, large: i
         table = spark.createDataFrame(rows, "node string, nl bigint, nr bigint, top int")
         cells = groups.join(table.select("node"), "node")
         entries = materialize(
-            long.select(F.col("cell_id").alias("cell"), F.col("feature").alias("i"), F.col("value").alias("v")).join(cells, "cell"))
+            long.select(F.col("cell_id").alias("cell"), F.col("feature").alias("i"), F.col("value").alias("v")).join(lookup(cells), "cell"))
         index = G.node_features(G.side_features(G.side_sums(entries, ["node"]), table, ["node"]))
         solved = materialize(G.solve_nodes(
             entries.withColumnRenamed("side", "part").select("node", "part", "cell", "i", "v"), index, sizes, solve,

@@ -67,6 +67,22 @@ def test_a_side_without_cells_is_not_accepted(spark):
     assert X.expression_veto(long)([("n", None, interval_rule("a", [0.0], "L"))], cells) == set()
 
 
+def test_a_veto_sends_the_cells_of_its_proposals_to_the_entries(spark, monkeypatch):
+    """Above the session's broadcast threshold too, the many entries are neither shuffled nor sorted to find their cells."""
+    cells = spark.range(400).select(F.col("id").cast("string").alias("cell_id"), F.lit("n").alias("path"), (F.col("id") - 199.5).alias("a"))
+    long = cells.select("cell_id", F.lit("f").alias("feature"), F.when(F.col("a") > 0, 3.0 + F.abs("a") / 100).otherwise(F.abs("a") / 100).alias("value"))
+    plans, keep = {}, X.materialize
+    monkeypatch.setattr(X, "materialize", lambda df: plans.update({tuple(df.columns): df._jdf.queryExecution().executedPlan().toString()}) or keep(df))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        assert X.expression_veto(X.materialize(long))([("n", None, interval_rule("a", [0.0], "L"))], cells) == {0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    entries = plans["cell", "i", "v", "node", "side"]
+    assert "BroadcastHashJoin" in entries and "SortMergeJoin" not in entries
+
+
 def test_growth_under_a_veto(spark):
     cells = four_types(spark, 6000)
     high = F.col("truth") >= 2
